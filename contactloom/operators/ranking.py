@@ -22,11 +22,6 @@ def hash_bucket(hashed: Column, buckets: int) -> Column:
     return F.shiftright(top * F.lit(buckets), 32).cast("int")
 
 
-def hash_order(hashed: Column) -> Column:
-    """Sorts as hash_bucket does."""
-    return hashed
-
-
 def before_buckets(df: DataFrame, group: list[str], bucket: str, value: Column, name: str) -> DataFrame:
     """Per group and bucket, the sum of value over all lower buckets of the group; one row each."""
     sums = df.groupBy(*group, bucket).agg(F.sum(value).alias("_sum"))

@@ -1,0 +1,38 @@
+"""The registered queries of the core, each with its SQL where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contactloom.functions import names
+from contactloom.operators import heavykeys
+from contactloom.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    images = table(spark, sf, "images")
+    per_group = heavykeys.salted_aggregate(images, "grp", {}, row_id=F.col("sample_id"))
+    share = F.lit(images.count())
+    return per_group.where(F.col("grp").isNotNull() & (F.col("n_rows") * 20 >= share)).select("grp")
+
+
+def p5_by_group(spark: SparkSession, sf: str) -> DataFrame:
+    images = table(spark, sf, "images")
+    total = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + F.greatest(F.coalesce(v, F.lit(0)), F.lit(0)))
+    per_group = heavykeys.salted_aggregate(images, "grp", {"y": F.col("y"), "total": total}, distinct="sample_id")
+    return per_group.withColumns({"y_mean": F.round("y_mean", 6), "total_mean": F.round("total_mean", 6)})
+
+
+def p5_by_contig(spark: SparkSession, sf: str) -> DataFrame:
+    images = table(spark, sf, "images").select("sample_id", "y", F.explode(names.contigs_of(F.col("name"))).alias("contig"))
+    per_contig = heavykeys.salted_aggregate(images, "contig", {"y": F.col("y")}, distinct="sample_id")
+    return per_contig.withColumn("y_mean", F.round("y_mean", 6))
+
+
+def queries() -> dict[str, Query]:
+    return {f.__name__: f for f in (p5_found, p5_by_group, p5_by_contig)}

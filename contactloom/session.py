@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +45,17 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
     """df, marked for broadcast only if it is counted to hold at most `most` rows; else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives this package to the session's Python workers, once; for clusters where it is not installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), package.name)
+        context.addPyFile(shutil.make_archive(str(archive), "zip", package.parent, package.name))
+        _shipped.add(context.applicationId)
+    return spark
