@@ -144,27 +144,29 @@ def differencing(vectors: np.ndarray, scale: np.ndarray) -> np.ndarray:
 def balanced_bins(weights: DataFrame, bins: int = 64, tuples_per_task: int = 5_000, rows_per_bucket: int = 50_000) -> DataFrame:
     """(component, bin): components, with weights (component, w0, w1), in bins of nearly equal weight.
 
-    Components ranked by weight make tuples of one component per bin. A tuple of equal components adds
-    the same to every bin and needs no choice. There are at most as many other tuples as different
-    weights, whose number grows far slower than the rows (with N rows less than (3N)^(2/3)); these are
-    balanced by largest differencing, in tasks of bounded size, whose results are balanced once more.
+    Components in which y = 0 prevails and those in which y = 1 does are balanced apart, into `bins`
+    bins each, so that splits can be filled for both. Components ranked by weight make tuples of one
+    component per bin. A tuple of equal components adds the same to every bin and needs no choice.
+    There are at most as many other tuples as different weights, whose number grows far slower than
+    the rows (with N rows less than (3N)^(2/3)); these are balanced by largest differencing, in tasks
+    of bounded size, whose results are balanced once more.
     """
-    weights = cut(weights)
+    weights = cut(weights.withColumn("side", F.when(F.col("w1") > F.col("w0"), 1).otherwise(0)))
     total = weights.agg(F.count(F.lit(1)), F.sum("w0"), F.sum("w1")).first()
     rows, scale = total[0], np.array([float(total[1] or 0), float(total[2] or 0)])
-    kinds = weights.groupBy("w0", "w1").agg(F.count(F.lit(1)).alias("_n"))
-    heavier = Window.orderBy(F.desc(F.col("w0") + F.col("w1")), F.desc("w0")).rowsBetween(Window.unboundedPreceding, -1)
+    kinds = weights.groupBy("side", "w0", "w1").agg(F.count(F.lit(1)).alias("_n"))
+    heavier = Window.partitionBy("side").orderBy(F.desc(F.col("w0") + F.col("w1")), F.desc("w0")).rowsBetween(Window.unboundedPreceding, -1)
     starts = kinds.withColumn("_start", F.coalesce(F.sum("_n").over(heavier), F.lit(0).cast("long")))
     hashed = weights.withColumn("_hash", F.xxhash64("component")).withColumn(
         "_bucket", hash_bucket(F.col("_hash"), buckets_for(rows, rows_per_bucket))
     )
-    ranked = with_rank(hashed, ["w0", "w1"], "_bucket", [F.col("_hash"), F.col("component")]).join(starts, ["w0", "w1"])
+    ranked = with_rank(hashed, ["side", "w0", "w1"], "_bucket", [F.col("_hash"), F.col("component")]).join(starts, ["side", "w0", "w1"])
     placed = cut(
         ranked.withColumn("_at", F.col("_start") + F.col("rank") - 1)
         .withColumn("tuple", F.floor(F.col("_at") / bins))
         .withColumn("slot", (F.col("_at") % bins).cast("int"))
         .withColumn("even", (F.col("_start") <= F.col("tuple") * bins) & (F.col("_start") + F.col("_n") >= (F.col("tuple") + 1) * bins))
-        .select("component", "w0", "w1", "tuple", "slot", "even")
+        .select("component", "side", "w0", "w1", "tuple", "slot", "even")
     )
 
     def balance(rows: pd.DataFrame) -> pd.DataFrame:
@@ -172,21 +174,24 @@ def balanced_bins(weights: DataFrame, bins: int = 64, tuples_per_task: int = 5_0
         vectors = np.zeros((len(ids), bins, 2))
         vectors[at, rows["slot"], 0] = rows["w0"]
         vectors[at, rows["slot"], 1] = rows["w1"]
-        return rows.assign(bin=differencing(vectors, scale)[at, rows["slot"]].astype("int32"))[["part", "tuple", "slot", "w0", "w1", "bin"]]
+        return rows.assign(bin=differencing(vectors, scale)[at, rows["slot"]].astype("int32"))
 
-    schema = "part int, tuple long, slot int, w0 long, w1 long, bin int"
-    uneven = placed.where("not even").select("tuple", "slot", "w0", "w1")
-    parts = buckets_for(uneven.select("tuple").distinct().count(), tuples_per_task)
-    first = cut(uneven.withColumn("part", F.pmod(F.xxhash64("tuple"), F.lit(parts)).cast("int")).groupBy("part").applyInPandas(balance, schema))
+    schema = "side int, part int, tuple long, slot int, w0 long, w1 long, bin int"
+    uneven = placed.where("not even").select("side", "tuple", "slot", "w0", "w1")
+    parts = buckets_for(uneven.select("side", "tuple").distinct().count(), tuples_per_task)
+    part = F.pmod(F.xxhash64("tuple"), F.lit(parts)).cast("int")
+    first = cut(uneven.select("side", part.alias("part"), "tuple", "slot", "w0", "w1").groupBy("side", "part").applyInPandas(balance, schema))
     # the bins of each part are tuples of the second stage
     merged = (
-        first.groupBy("part", "bin").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
-        .select(F.lit(0).alias("part"), F.col("part").cast("long").alias("tuple"), F.col("bin").alias("slot"), "w0", "w1")
-        .groupBy("part").applyInPandas(balance, schema)
-        .select(F.col("tuple").cast("int").alias("part"), F.col("slot").alias("bin"), F.col("bin").alias("final"))
+        first.groupBy("side", "part", "bin").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
+        .select("side", F.lit(0).alias("part"), F.col("part").cast("long").alias("tuple"), F.col("bin").alias("slot"), "w0", "w1")
+        .groupBy("side").applyInPandas(balance, schema)
+        .select("side", F.col("tuple").cast("int").alias("part"), F.col("slot").alias("bin"), F.col("bin").alias("final"))
     )
-    chosen = first.select("part", "tuple", "slot", "bin").join(merged, ["part", "bin"]).select("tuple", "slot", "final")
-    return placed.join(chosen, ["tuple", "slot"], "left").select("component", F.coalesce("final", "slot").alias("bin"))
+    chosen = first.select("side", "part", "tuple", "slot", "bin").join(merged, ["side", "part", "bin"]).select("side", "tuple", "slot", "final")
+    return placed.join(chosen, ["side", "tuple", "slot"], "left").select(
+        "component", (F.coalesce("final", "slot") * 2 + F.col("side")).alias("bin")
+    )
 
 
 def allocate(bins: list[tuple[int, float, float]], shares: list[tuple[str, float]]) -> dict[int, str]:
@@ -197,35 +202,33 @@ def allocate(bins: list[tuple[int, float, float]], shares: list[tuple[str, float
     want = np.array([s for _, s in shares])[:, None] / max(sum(s for _, s in shares), 1e-9)
     got = np.zeros((len(shares), 3))
     split = np.zeros(len(bins), int)
-    # one split's error counts by its share, so that a small split is not given up for a large one
-    error = lambda g: (((g - want) ** 2) / np.maximum(want, 1e-9)).sum()
     for i in np.argsort(-part.sum(1), kind="stable"):
-        trials = []
-        for s in range(len(shares)):
-            after = got.copy()
-            after[s] += part[i]
-            trials.append((np.maximum(after - want, 0).sum(), -(want[s] - got[s]).sum() / max(want[s][0], 1e-9), s))
-        split[i] = min(trials)[2]
+        # where it overfills least, then where most is missing
+        over = np.maximum(got + part[i] - want, 0).sum(1) - np.maximum(got - want, 0).sum(1)
+        missing = (got - want).sum(1) / np.maximum(want[:, 0], 1e-9)
+        split[i] = np.lexsort((missing, over))[0]
         got[split[i]] += part[i]
-    best, changed = error(got), True
+    # then single bins move, and pairs change places, as long as it helps; a small split's error counts as its share
+    error = lambda g: (((g - want[:, None, :]) ** 2) / np.maximum(want[:, None, :], 1e-9)).sum((0, 2))
+    best, changed = error(got[:, None, :])[0], True
     while changed:
         changed = False
         for i in range(len(bins)):
             for s in range(len(shares)):
-                options = [(i, s)] if s != split[i] else []
-                swaps = [(j,) for j in range(i) if split[j] == s and s != split[i]]
-                for other in [()] + swaps if options else []:
-                    after = got.copy()
-                    after[split[i]] -= part[i]
-                    after[s] += part[i]
-                    for j in other:
-                        after[s] -= part[j]
-                        after[split[i]] += part[j]
-                    if error(after) < best - 1e-12:
-                        for j in other:
-                            split[j] = split[i]
-                        split[i], got, best, changed = s, after, error(after), True
-                        break
+                old = split[i]
+                if s == old:
+                    continue
+                others = np.r_[-1, np.flatnonzero(split == s)]
+                moved = part[i] - np.where(others[:, None] < 0, 0, part[others])
+                after = np.repeat(got[:, None, :], len(others), 1)
+                after[old] -= moved
+                after[s] += moved
+                errors = error(after)
+                k = int(errors.argmin())
+                if errors[k] < best - 1e-12:
+                    if others[k] >= 0:
+                        split[others[k]] = old
+                    split[i], got, best, changed = s, after[:, k], errors[k], True
     return {b[0]: shares[s][0] for b, s in zip(bins, split)}
 
 
