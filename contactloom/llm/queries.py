@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactloom.llm import cutoff, mix, overlap, sample, splits, tokens, topn
+from contactloom.llm.sql import SQL
 from contactloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +92,8 @@ def queries() -> dict[str, Query]:
             p6_ids, p7_mix, p7_shares, p8_found, p8_rates, p8_limits,
         )
     }
+
+
+def sql() -> dict[str, str]:
+    """SQL by query, where there is one."""
+    return dict(SQL)
