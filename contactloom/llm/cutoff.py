@@ -18,6 +18,8 @@ MEASURES = (
     "chars", "bytes", "utf16", "chars_entities", "bytes_entities", "chars_entities_quotes", "bytes_entities_quotes",
     "chars_json", "bytes_json", "chars_crlf", "bytes_crlf", "chars_lf", "bytes_lf",
 )
+#: White space that may follow the end of a text.
+BLANKS = " \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Control characters, which JSON writes with six characters.
 CONTROLS = "".join(map(chr, [*range(9), 11, 12, *range(14, 32)]))
 
@@ -47,7 +49,7 @@ def with_ending(documents: DataFrame, text: str = "text") -> DataFrame:
     complete: closed markup, a signature, a rule, a heading, the end of a sentence, nothing at all.
     """
     # steps of their own, so that each is computed once
-    body = documents.withColumn("_body", F.regexp_replace(F.col(text), r"(?U)\s+\z", ""))
+    body = documents.withColumn("_body", F.rtrim(F.col(text), F.lit(BLANKS)))
     lines = body.withColumn("_lines", F.split("_body", r"\r\n|\n|\r"))
     ends = lines.withColumns({
         "_last": F.trim(F.element_at("_lines", -1)),
@@ -68,7 +70,7 @@ def with_ending(documents: DataFrame, text: str = "text") -> DataFrame:
         F.when(last == "", "blank")
         .when(last.endswith("\ufffd"), "open")
         .when(in_ref & ref_goes_on, "open")
-        .when((opened("[[", "]]") | opened("{{", "}}") | opened("<!--", "-->") | last.rlike(r"<[/a-zA-Z][^>]*$")) & ~ends_sentence, "open")
+        .when((opened("[[", "]]") | opened("{{", "}}") | opened("<!--", "-->") | last.rlike(r"<[/a-zA-Z][^<>]*$")) & ~ends_sentence, "open")
         .when(last.rlike("(?i)#redirect"), "closed")
         # a link in running text, after which the sentence would have gone on
         .when(last.endswith("]]") & last.rlike(r"^[^\[{|*#;:<!=].*\s\S"), "open")

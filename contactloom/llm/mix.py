@@ -19,7 +19,7 @@ def full_budget(sized: DataFrame, targets: DataFrame) -> int:
     """The largest total at which no source that has documents runs out of its repeats before its share is full."""
     totals = sized.where("tokens > 0").groupBy("source").agg(F.sum("tokens").alias("_all"))
     found = (
-        targets.where("weight > 0 and max_repeats > 0").dropDuplicates(["source"]).join(totals, "source")
+        targets.where("weight > 0 and max_repeats > 0").select("source", "weight", "max_repeats").dropDuplicates(["source"]).join(totals, "source")
         .agg(F.min(F.col("_all") * F.col("max_repeats") / F.col("weight")).alias("v"), F.sum("weight").alias("w"))
         .first()
     )
@@ -100,7 +100,7 @@ def mix_shares(
     )
     # as many rows as there are wanted sources
     whole = Window.partitionBy(F.lit(1))
-    return targets.dropDuplicates(["source"]).join(taken, "source", "left").select(
+    return targets.select("source", "weight", "max_repeats").dropDuplicates(["source"]).join(taken, "source", "left").select(
         "source", "weight", "max_repeats",
         *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("documents", "rows", "tokens", "turns")),
         F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(whole)), F.lit(0.0)).alias("share"),

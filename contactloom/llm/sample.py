@@ -10,6 +10,7 @@ from contactloom.operators.ranking import before_buckets, buckets_for, hash_buck
 from contactloom.session import small
 
 CATEGORY = ["y", "grp_type", "bin_size"]
+TARGET = ["target_id", "target_set", *CATEGORY, "share", "min_rows", "sample_rows"]
 
 
 def categorised(images: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def prioritised(images: DataFrame, targets: DataFrame, seed: int = 7, rows_per_b
         "_bucket", hash_bucket(F.col("_hash"), buckets_for(total, rows_per_bucket))
     )
     ranked = with_rank(shuffled, CATEGORY, "_bucket", [F.col("_hash"), F.col("sample_id")]).drop("_hash", "_bucket")
-    wanted = small(targets.dropDuplicates(["target_id"]))
+    wanted = small(targets.select(*TARGET).dropDuplicates(["target_id"]))
     return ranked.join(wanted, CATEGORY).withColumn(
         "priority",
         F.when(F.col("rank") <= F.coalesce("min_rows", F.lit(0)), F.lit(0.0)).when(
@@ -97,11 +98,11 @@ def sample_report(
     )
     want = F.greatest(F.coalesce("min_rows", F.lit(0)).cast("double"), F.coalesce("share", F.lit(0.0)) * F.coalesce("sample_rows", F.lit(0)))
     return (
-        targets.dropDuplicates(["target_id"])
+        targets.select(*TARGET).dropDuplicates(["target_id"])
         .join(have, "target_id", "left")
         .join(taken, "target_id", "left")
         .select(
-            "target_id", "target_set", "y", "grp_type", "bin_size", "share", "min_rows", "sample_rows",
+            *TARGET,
             F.coalesce("have", F.lit(0)).cast("long").alias("have"),
             F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
             want.alias("want"),

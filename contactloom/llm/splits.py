@@ -273,7 +273,7 @@ def split_balance(images: DataFrame, name_table: DataFrame, targets: DataFrame,
     )
     scheme = Window.partitionBy("scheme")
     of = lambda c: F.coalesce(F.try_divide(F.coalesce(c, F.lit(0)), F.sum(c).over(scheme)), F.lit(0.0))
-    return targets.dropDuplicates(["scheme", "split"]).join(made, ["scheme", "split"], "left").select(
+    return targets.select("scheme", "split", "share").dropDuplicates(["scheme", "split"]).join(made, ["scheme", "split"], "left").select(
         "scheme", "split", "share", F.coalesce("records", F.lit(0)).alias("records"),
         of("records").alias("got"), of("n0").alias("got_0"), of("n1").alias("got_1"),
     )

@@ -27,8 +27,8 @@ def _codes(columns: list[pa.Array]) -> np.ndarray:
 def _best(rows: pa.Table, keys: list[str], n: int) -> pa.Table:
     """Of each group with n different rows at least, the n best by score and then by tie."""
     code = _codes([rows[k].combine_chunks() for k in keys])
-    score = rows["_score"].to_numpy()
-    tie = rows["_tie"].to_numpy()
+    score = rows["score"].to_numpy()
+    tie = rows["tie"].to_numpy()
     order = np.lexsort((tie, -score, code))
     code, score, tie = code[order], score[order], tie[order]
     again = np.r_[False, (code[1:] == code[:-1]) & (score[1:] == score[:-1]) & (tie[1:] == tie[:-1])]
@@ -40,14 +40,14 @@ def _best(rows: pa.Table, keys: list[str], n: int) -> pa.Table:
     return rows.take(pa.array(order[(place < n) & (np.repeat(size, size) >= n)]))
 
 
-def lower_bounds(df: DataFrame, group: list[str], score: str, tie: str, n: int, most: int) -> DataFrame:
-    """(group, _bound): a row of the group that at least n different rows equal or beat.
+def lower_bounds(rows: DataFrame, group: list[str], n: int, most: int) -> DataFrame:
+    """(group, bound) of (group, score, tie): a row of the group that at least n different rows equal or beat.
 
     Each partition's own n-th best row is such a bound; of a group's bounds the best is taken. Only
     the `most` groups with the largest number of rows behind their bounds are kept: they are the only
     ones that have rows to leave out, and their number bounds the broadcast.
     """
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in group)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(kept: list[pa.Table]) -> pa.RecordBatch:
@@ -67,15 +67,14 @@ def lower_bounds(df: DataFrame, group: list[str], score: str, tie: str, n: int,
         if sum(t.num_rows for t in kept):
             yield from flush(kept).to_batches()
 
-    rows = df.select(*group, F.col(score).cast("double").alias("_score"), F.col(tie).cast("long").alias("_tie"))
-    local = rows.mapInArrow(run, f"{kinds}, _score double, _tie bigint")
+    local = rows.select(*group, "score", "tie").mapInArrow(run, f"{kinds}, score double, tie bigint")
     # of two rows the one with the smaller tie is better, which the complement turns round
     return (
         local.groupBy(*group)
-        .agg(F.max(F.struct("_score", F.bitwise_not("_tie").alias("_last"))).alias("_bound"), F.count(F.lit(1)).alias("_n"))
-        .orderBy(F.desc("_n"))
+        .agg(F.max(F.struct("score", F.bitwise_not("tie").alias("last"))).alias("bound"), F.count(F.lit(1)).alias("n"))
+        .orderBy(F.desc("n"))
         .limit(most)
-        .drop("_n")
+        .drop("n")
     )
 
 
@@ -90,22 +89,21 @@ def top_n(
 
     Rows with null or NaN score are left out. Null group values form groups of their own. A row that
     repeats another's group, score and tie is the same row and comes out once; ties beyond that cannot
-    occur. tie must be an integer column. Groups with fewer rows give all; an empty table gives none.
+    occur. tie must be an integer column; rows without one are left out. A column `place` is replaced. Groups with fewer rows give all; an empty table gives none.
     """
-    rows = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).where(F.col(tie).isNotNull())
-    bounds = lower_bounds(rows, group, score, tie, n, most_bounds)
-    bounds = bounds.select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(group)), "_bound")
-    same = [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(group)]
-    value = F.col(score).cast("double")
-    kept = (
-        rows.join(F.broadcast(bounds), same, "left")
-        .where(
-            F.col("_bound").isNull()
-            | (value > F.col("_bound._score"))
-            | ((value == F.col("_bound._score")) & (F.bitwise_not(F.col(tie).cast("long")) >= F.col("_bound._last")))
-        )
-        .select(*df.columns)
+    # rows travel as one column, so that their names cannot clash with those used here
+    keys = [f"g{i}" for i in range(len(group))]
+    rows = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(tie).isNotNull()).select(
+        *(F.col(c).alias(k) for c, k in zip(group, keys)),
+        F.col(score).cast("double").alias("score"),
+        F.col(tie).cast("long").alias("tie"),
+        F.struct(*(c for c in df.columns if c != "place")).alias("row"),
     )
-    order = Window.partitionBy(*group).orderBy(F.desc(score), F.asc(tie))
+    bounds = lower_bounds(rows, keys, n, most_bounds).select(*(F.col(k).alias(f"b_{k}") for k in keys), "bound")
+    same = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys]
+    score_, tie_ = F.col("score"), F.bitwise_not("tie")
+    reaches = (score_ > F.col("bound.score")) | ((score_ == F.col("bound.score")) & (tie_ >= F.col("bound.last")))
+    kept = rows.join(F.broadcast(bounds), same, "left").where(F.col("bound").isNull() | reaches)
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("tie"))
     placed = kept.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= n)
-    return placed.dropDuplicates([*group, "place"])
+    return placed.dropDuplicates([*keys, "place"]).select("row.*", "place")
