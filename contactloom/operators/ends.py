@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.functions import names
+from contactloom.functions.images import both_mirrors, dense, sorted_cells
 from contactloom.operators import contacts
 
 
@@ -119,21 +120,19 @@ def end_pair_images(pair_cells: DataFrame, chrom_sizes: DataFrame, half: int = 1
     side = 2 * half
     size = contacts.sizes(chrom_sizes)
     pair = ["resolution", "chrom1", "side1", "chrom2", "side2"]
-    entries = F.map_from_entries(F.collect_list(F.struct((F.col("r") * side + F.col("c")).cast("int"), F.col("cnt"))))
+    whole = pair_cells.select(*pair, F.explode(both_mirrors("r", "c")).alias("_at"), "cnt").select(*pair, "_at.r", "_at.c", "cnt")
     made = (
-        pair_cells.groupBy(*pair).agg(entries.alias("_m"))
+        whole.groupBy(*pair).agg(sorted_cells(F.col("r") * side + F.col("c"), F.col("cnt")).alias("_cells"))
         .join(size.select(F.col("chrom").alias("chrom1"), F.col("length").alias("_l1")), "chrom1")
         .join(size.select(F.col("chrom").alias("chrom2"), F.col("length").alias("_l2")), "chrom2")
         .withColumns({"_n1": F.expr("_l1 div resolution"), "_n2": F.expr("_l2 div resolution")})
     )
     beyond = lambda k: F.when(k < half, half - 1 - k >= F.col("_n1")).otherwise(k - half >= F.col("_n2"))
 
-    def cell(i: Column) -> Column:
-        r, c = F.floor(i / side).cast("int"), (i % side).cast("int")
-        at = F.least(r, c) * side + F.greatest(r, c)
-        return F.when(beyond(r) | beyond(c), F.lit(-1).cast("long")).otherwise(F.coalesce(F.try_element_at("_m", at.cast("int")), F.lit(0).cast("long")))
+    def cell(value: Column, i: Column) -> Column:
+        return F.when(beyond(F.floor(i / side)) | beyond(i % side), F.lit(-1).cast("long")).otherwise(value)
 
     end = lambda k: F.format_string("%s:0-%d:%d", f"chrom{k}", f"_l{k}", f"side{k}")
     return made.select(
-        *pair, F.concat_ws("|", end(1), end(2)).alias("name"), F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), cell).alias("x")
+        *pair, F.concat_ws("|", end(1), end(2)).alias("name"), F.transform(dense("_cells", side * side), cell).alias("x")
     )

@@ -17,10 +17,12 @@ def block_score(x: Column, side: int = 20) -> Column:
     null for a null one.
     """
     half = side // 2
-    cell = lambda v: F.greatest(F.coalesce(v, F.lit(0)), F.lit(0)).cast("long")
-    across = lambda i: (F.floor(i / side) < half) != ((i % side) < half)
-    total = lambda inside: F.aggregate(F.filter(x, inside), F.lit(0).cast("long"), lambda a, v: a + cell(v))
-    cross, own = total(lambda v, i: across(i)), total(lambda v, i: ~across(i))
+    rows = F.sequence(F.lit(0), F.lit(side - 1))
+    # of each row the half beyond the middle, or the other one
+    far = lambda r: F.slice(x, r * side + F.when(r < half, half + 1).otherwise(1), half)
+    near = lambda r: F.slice(x, r * side + F.when(r < half, 1).otherwise(half + 1), half)
+    add = lambda total, v: total + F.greatest(F.coalesce(v, F.lit(0)), F.lit(0))
+    cross, own = (F.aggregate(F.flatten(F.transform(rows, part)), F.lit(0).cast("long"), add) for part in (far, near))
     return F.when(x.isNotNull(), F.least(F.coalesce(F.try_divide(cross, own), F.lit(0.0)), F.lit(1.0)))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contactloom.functions.images import both_mirrors, dense, sorted_cells
 from contactloom.operators import contacts
 
 WINDOW = ["resolution", "chrom", "pos"]
@@ -36,8 +37,8 @@ def window_cells(cells: DataFrame, chrom_sizes: DataFrame, half: int = 10) -> Da
     """(resolution, chrom, pos, r, c, cnt): the cells of each window, both mirror cells; corner C2."""
     at = positions(cells, chrom_sizes, half)
     base = F.col("pos") - half
-    one = at.select(*WINDOW, (F.col("lo") - base).alias("r"), (F.col("hi") - base).alias("c"), "cnt")
-    return one.union(one.where("r <> c").select(*WINDOW, F.col("c").alias("r"), F.col("r").alias("c"), "cnt"))
+    at = at.select(*WINDOW, (F.col("lo") - base).alias("r"), (F.col("hi") - base).alias("c"), "cnt")
+    return at.select(*WINDOW, F.explode(both_mirrors("r", "c")).alias("_at"), "cnt").select(*WINDOW, "_at.r", "_at.c", "cnt")
 
 
 def rotated(window: DataFrame, half: int = 10) -> DataFrame:
@@ -49,12 +50,8 @@ def rotated(window: DataFrame, half: int = 10) -> DataFrame:
 def images(window: DataFrame, half: int = 10, key: list[str] | None = None) -> DataFrame:
     """(key, x): dense images of window cells, row by row, missing cells 0. A window holds 4 S^2 cells at most."""
     side = 2 * half
-    entries = F.map_from_entries(F.collect_list(F.struct((F.col("r") * side + F.col("c")).cast("int"), F.col("cnt"))))
-    cell = lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("long"))
-    return (
-        window.groupBy(*(key or WINDOW)).agg(entries.alias("_m"))
-        .select(*(key or WINDOW), F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), cell).alias("x"))
-    )
+    cells = window.groupBy(*(key or WINDOW)).agg(sorted_cells(F.col("r") * side + F.col("c"), F.col("cnt")).alias("_cells"))
+    return cells.select(*(key or WINDOW), dense("_cells", side * side).alias("x"))
 
 
 def labelled(windows: DataFrame, breakpoints: DataFrame, half: int = 10, tolerance: int = 7) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from contactloom.plans import contact_queries, dataset_queries, heavy_key_queries
+from contactloom.plans import contact_queries, dataset_queries, heavy_key_queries, pipeline_queries
 from contactloom.plans.registry import Query
 
-MODULES = (heavy_key_queries, contact_queries, dataset_queries)
+MODULES = (heavy_key_queries, contact_queries, dataset_queries, pipeline_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The twelve columns of a PAF file.
-PAF = T.StructType.fromDDL(
+PAF = (
     "Q_name STRING, Q_len BIGINT, Q_start BIGINT, Q_end BIGINT, Strand STRING, T_name STRING, "
     "T_len BIGINT, T_start BIGINT, T_end BIGINT, N_residue BIGINT, Al_len BIGINT, Quality INT"
 )
 
 
-def tsv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+def tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Tab-separated text without a header; columns beyond the schema are ignored."""
     return spark.read.csv(path, schema=schema, sep="\t", header=False, mode="PERMISSIVE")
 
@@ -89,7 +88,8 @@ def write_fasta(sequences: DataFrame, path: str) -> None:
 
 def write_paf(alignments: DataFrame, path: str) -> None:
     """All twelve columns; those that are missing are 0."""
-    columns = [F.col(f.name) if f.name in alignments.columns else F.lit(0).alias(f.name) for f in PAF]
+    named = [column.split()[0] for column in PAF.split(", ")]
+    columns = [F.col(c) if c in alignments.columns else F.lit(0).alias(c) for c in named]
     alignments.select(*columns).write.mode("overwrite").csv(path, sep="\t")
 
 
