@@ -44,7 +44,7 @@ READS = "chrom1 string, pos1 long, chrom2 string, pos2 long, ts timestamp, read_
 
 
 def test_streamed_counts_add_up_to_the_batch(spark, tmp_path):
-    rows = [("ab"[i % 2], i * 37 % 900, "a", i * 11 % 900, i * 61, i) for i in range(400)]
+    rows = [("ab"[i % 2], i * 37 % 900, "a", i * 11 % 900, 10**6 + i * 61, i) for i in range(400)]
     df = spark.createDataFrame(rows, READS.replace("ts timestamp", "ts long")).withColumn("ts", F.timestamp_seconds("ts"))
     source = tmp_path / "in"
     df.orderBy("ts").coalesce(1).write.parquet(str(source))
