@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.operators.ranking import with_running
+from contactloom.session import cut
 
 CELLS = 4096
 
@@ -49,6 +50,8 @@ def scores(table: DataFrame) -> DataFrame:
 def curve(scored: DataFrame) -> DataFrame:
     """(prob, tp, fp, p, n): of each different probability, how many of both labels are at least as probable, and all of both."""
     counts = usable(scored).groupBy("prob").agg(F.count_if(F.col("y") == 1).alias("_p"), F.count_if(F.col("y") == 0).alias("_n"))
+    # read several times below; one row per probability is all that is kept
+    counts = cut(counts)
     placed = counts.withColumns({"_all": F.lit(1), "_cell": F.floor((1 - F.col("prob")) * CELLS).cast("long")})
     order = [F.desc("prob")]
     tp = with_running(placed, ["_all"], "_cell", order, F.col("_p"), "tp")
@@ -83,6 +86,7 @@ def mann_whitney(values: DataFrame, group: str, value: str, greater: str, than:
     """(u, p_value): whether values of one group are greater; normal approximation with tie correction."""
     rows = values.where(F.col(group).isin(greater, than) & F.col(value).isNotNull())
     counts = rows.groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == greater).alias("a"), F.count_if(F.col(group) == than).alias("b"))
+    counts = cut(counts)
     ends = counts.agg(F.min("v").cast("double"), F.max("v").cast("double")).first()
     low, width = ends[0] or 0.0, ((ends[1] or 0.0) - (ends[0] or 0.0)) or 1.0
     placed = counts.withColumns({"_all": F.lit(1), "_cell": F.floor((F.col("v") - F.lit(low)) / F.lit(width) * CELLS).cast("long")})

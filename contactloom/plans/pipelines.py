@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contactloom.operators import contacts, dataset, ends, links, scorer, segment, simulate, windows
 from contactloom.operators import breakpoints as bp
-from contactloom.session import small
+from contactloom.session import cut, small
 
 #: (key columns, x) to (key columns, prob)
 Scorer = Callable[[DataFrame, str], DataFrame]
@@ -65,6 +65,8 @@ def corrected_contigs(
     curve = segment.corner_mean(both)
     if smoothing:
         curve = segment.smoothed(curve)
+    # scored once; the parts and their ends both need it
+    curve = cut(curve)
     if regions is None:
         curve = curve.withColumn("masked", F.lit(False))
     else:
@@ -85,7 +87,7 @@ def scaffolding_graph(
     )
     found = links.scored_links(scored.select("name", F.struct("resolution", "prob").alias("prob")))
     per_resolution = links.canonical(found.select("a", "oa", "b", "ob", F.col("prob.resolution").alias("resolution"), F.col("prob.prob").alias("prob")))
-    merged = links.across_resolutions(per_resolution)
+    merged = cut(links.across_resolutions(per_resolution))
     graph_nodes, graph_edges = links.nodes(merged, chrom_sizes), links.edges(merged)
     return graph_nodes, graph_edges, links.gfa_lines(graph_nodes, graph_edges, sequences, least)
 
