@@ -320,9 +320,10 @@ def corner_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 @REGISTRY.query(f"""with {SERIES}
 select chrom, bin, round(case when count(*) over (partition by chrom) >= 20
-  then sum(p) over (partition by chrom order by bin rows between 10 preceding and 9 following) / 20 else p end, 6) as p from m""")
+  then sum(p) over (partition by chrom order by bin rows between 10 preceding and 9 following) / 20 else p end, 8) as p from m""")
 def smooth20(spark: SparkSession, sf: str) -> DataFrame:
-    return _whole(segment.smoothed(segment.corner_mean(_series(spark, sf))))
+    # eight digits are exact here, so no engine has a half to round
+    return segment.smoothed(segment.corner_mean(_series(spark, sf))).withColumn("p", F.round("p", 8))
 
 
 @REGISTRY.query(f"with {MASKED} select chrom, bin, round(p, 6) as p, masked from k")
