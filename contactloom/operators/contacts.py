@@ -23,11 +23,11 @@ def upper(pixels: DataFrame) -> DataFrame:
         *(F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("chrom1", "chrom2"), ("bin1", "bin2"))),
         *(F.when(swap, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in (("chrom1", "chrom2"), ("bin1", "bin2"))),
         "cnt",
+        swap.alias("_swap"),
     ]
-    return (
-        pixels.dropna(subset=[*CELL, "cnt"]).select(*CELL, "cnt").distinct().select(*turned)
-        .groupBy(*CELL).agg(F.sum("cnt").alias("cnt"))
-    )
+    # one shuffle by cell serves both the distinct rows and the sums
+    rows = pixels.dropna(subset=[*CELL, "cnt"]).select(*turned).repartition(*CELL).distinct()
+    return rows.groupBy(*CELL).agg(F.sum("cnt").alias("cnt"))
 
 
 def sizes(chrom_sizes: DataFrame) -> DataFrame:

@@ -20,9 +20,9 @@ def plain_scorer(images: DataFrame, key: str) -> DataFrame:
     return images.select(key, scorer.block_score(F.col("x")).alias("prob"))
 
 
-def network_scorer(images: DataFrame, key: str, **weights) -> DataFrame:
-    """The network's probability of each image."""
-    return scorer.network_scores(images, key, network=scorer.Network(**weights))
+def network_scorer(network: scorer.Network | None = None, top: float = 1.0) -> Scorer:
+    """Scores by the network; top is 1 for normalised images, else the count that becomes 1."""
+    return lambda images, key: scorer.network_scores(images, key, top=top, network=network)
 
 
 def normalised(images: DataFrame, cells: DataFrame, chrom_sizes: DataFrame, half: int, q: float = 0.95) -> DataFrame:
@@ -41,17 +41,23 @@ def corrected_contigs(
     least_bins: int = 20,
     regions: DataFrame | None = None,
     score: Scorer = plain_scorer,
+    quantile: float | None = None,
 ) -> DataFrame:
     """(chrom, start, end) in bp: the parts of each contig that has scored windows.
 
     Every window along the diagonal and its turned copy are scored; where the mean is below the
-    threshold, and no low-complexity region (chrom, b0, b1) excuses it, the contig is cut.
+    threshold, and no low-complexity region (chrom, b0, b1) excuses it, the contig is cut. With
+    `quantile` (0.95, say) images are normalised by that quantile of the band before they are scored.
     """
     cells = contacts.upper(pixels.where(F.col("resolution") == resolution))
     near = windows.window_cells(cells, chrom_sizes, half)
-    corners = near.withColumn("corner", F.lit(2)).union(windows.rotated(near, half).withColumn("corner", F.lit(3)))
-    images = windows.images(corners, half, [*windows.WINDOW, "corner"])
-    named = images.withColumn("name", F.format_string("%s_%d_C%d", "chrom", "pos", "corner"))
+    images = windows.images(near, half)
+    if quantile:
+        images = normalised(images, cells, chrom_sizes, half, quantile)
+    # the second corner is the image turned by 180 degrees, its cells in reverse
+    corners = F.explode(F.array(F.struct(F.lit(2).alias("corner"), F.col("x")), F.struct(F.lit(3).alias("corner"), F.reverse("x").alias("x"))))
+    named = images.select(*windows.WINDOW, corners.alias("_c")).select(*windows.WINDOW, "_c.corner", "_c.x")
+    named = named.withColumn("name", F.format_string("%s_%d_C%d", "chrom", "pos", "corner"))
     scored = score(named.select("name", "x"), "name")
     parts = F.split("name", "_")
     place = scored.select(
@@ -76,11 +82,14 @@ def corrected_contigs(
 
 
 def scaffolding_graph(
-    pixels: DataFrame, chrom_sizes: DataFrame, half: int = 10, least: float = 0.0, score: Scorer = plain_scorer, sequences: DataFrame | None = None
+    pixels: DataFrame, chrom_sizes: DataFrame, half: int = 10, least: float = 0.0, score: Scorer = plain_scorer, sequences: DataFrame | None = None,
+    quantile: float | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, GFA lines) from the contacts between contig ends at all resolutions of pixels."""
     cells = contacts.upper(pixels)
     images = ends.end_pair_images(ends.end_pair_cells(cells, chrom_sizes, half), chrom_sizes, half)
+    if quantile:
+        images = normalised(images, cells, chrom_sizes, half, quantile)
     keyed = images.withColumn("key", F.concat_ws(" ", "resolution", "name"))
     scored = score(keyed.select("key", "x"), "key").select(
         F.substring_index("key", " ", 1).cast("int").alias("resolution"), F.expr("substring(key, locate(' ', key) + 1)").alias("name"), "prob"

@@ -304,6 +304,18 @@ def test_network_masks_and_turns():
     assert np.allclose(out[0, 0, 1, :3], 9) and mask[0, 0, 1].tolist() == [1, 1, 1, 0]
 
 
+def test_pipelines_with_the_network(spark):
+    rng = np.random.default_rng(5)
+    rows = as_rows(random_matrix(rng, 40), "a", 5000) + as_rows(random_matrix(rng, 40), "b", 5000) + [(5000, "a", 39, "b", 0, 9), (5000, "a", 38, "b", 2, 4)]
+    df, size = pixels(spark, rows), sizes(spark, a=200_000, b=200_000, c=10)
+    score = pipelines.network_scorer(scorer.Network(seed=2))
+    parts = pipelines.corrected_contigs(df, size, threshold=0.0, score=score, quantile=0.95)
+    assert {tuple(r) for r in parts.collect()} == {("a", 0, 200_000), ("b", 0, 200_000)}
+    graph_nodes, graph_edges, lines = pipelines.scaffolding_graph(df, size, score=score, quantile=0.95)
+    assert {r.node for r in graph_nodes.collect()} == {"a:0-200000", "b:0-200000", "c:0-10"}
+    assert {(r.a, r.b, r.type) for r in graph_edges.collect()} == {("a:0-200000", "b:0-200000", "End-Start")} and lines.count() == 5
+
+
 def test_pipelines_find_a_misjoin(spark):
     rng = np.random.default_rng(3)
     n = 120
