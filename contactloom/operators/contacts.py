@@ -5,7 +5,7 @@ A missing cell counts 0. Only one of the two mirror cells is stored: (chrom1, bi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL = ["resolution", "chrom1", "bin1", "chrom2", "bin2"]
@@ -180,3 +180,13 @@ def hotspots(cells: DataFrame, block: int = 1000, size: int = 100, stride: int =
     )
     first = Window.partitionBy(*pair, "block1", "block2").orderBy(F.desc("total"), "sub1", "sub2")
     return windows.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+
+
+def rescaled(bins: Column, from_resolution: int, to_resolution: int) -> Column:
+    """A bin of one resolution as the bin of another that holds its start."""
+    return F.floor(bins * F.lit(from_resolution) / F.lit(to_resolution)).cast("long")
+
+
+def contigs(cells: DataFrame) -> DataFrame:
+    """(chrom): all contigs with a contact."""
+    return cells.select(F.col("chrom1").alias("chrom")).union(cells.select("chrom2")).distinct()

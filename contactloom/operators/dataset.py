@@ -192,3 +192,17 @@ def top_value(images: DataFrame, q: float = 0.995) -> DataFrame:
     """(vmax): the q-quantile of all cells, at least 1."""
     cells = images.select(F.explode("x").alias("v")).groupBy(F.col("v").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     return cells.agg(F.greatest(F.percentile("v", q, F.col("n")), F.lit(1.0)).alias("vmax"))
+
+
+def renamed(rows: DataFrame, name_table: DataFrame, column: str = "contig") -> DataFrame:
+    """Rows with the old name of a contig in place of its new one; names the table does not know stay.
+
+    Names are compared plain. Of several old names the least is taken, so no row is repeated.
+    """
+    old = name_table.dropna().groupBy(names.plain(F.col("new")).alias("_new")).agg(F.min(names.plain(F.col("old"))).alias("_old"))
+    return rows.join(old, names.plain(F.col(column)) == F.col("_new"), "left").withColumn(column, F.coalesce("_old", column)).drop("_new", "_old")
+
+
+def updated(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The rows of both, with those of new in place of old ones with the same key."""
+    return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).union(new.select(*old.columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.functions import names
@@ -136,3 +136,35 @@ def end_pair_images(pair_cells: DataFrame, chrom_sizes: DataFrame, half: int = 1
     return made.select(
         *pair, F.concat_ws("|", end(1), end(2)).alias("name"), F.transform(dense("_cells", side * side), cell).alias("x")
     )
+
+
+def tiled(cells: DataFrame, regions: DataFrame) -> DataFrame:
+    """(view, resolution, r, c, cnt), r <= c: regions of contigs side by side, each forward or turned.
+
+    regions is (view, place, chrom, bin0, bin1, turned), bin1 excluded: the regions of a view follow each
+    other by place. Of a turned region the last bin comes first. A view has few regions, their offsets
+    are a running sum within it.
+    """
+    order = Window.partitionBy("view").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = regions.where("bin0 < bin1").withColumn("_off", F.coalesce(F.sum(F.col("bin1") - F.col("bin0")).over(order), F.lit(0)))
+
+    def side(k: int) -> tuple[DataFrame, Column, Column]:
+        at = F.col(f"bin{k}")
+        inside = F.when(F.col("_t"), F.col("_e") - 1 - at).otherwise(at - F.col("_s"))
+        own = placed.select("view", F.col("chrom").alias(f"chrom{k}"), F.col("bin0").alias("_s"), F.col("bin1").alias("_e"), F.col("turned").alias("_t"), "_off")
+        return own, (at >= F.col("_s")) & (at < F.col("_e")), F.col("_off") + inside
+
+    one, in_one, at_one = side(1)
+    two, in_two, at_two = side(2)
+    first = cells.join(one, "chrom1").where(in_one).withColumn("_i", at_one).drop("_s", "_e", "_t", "_off")
+    both = first.join(two, ["view", "chrom2"]).where(in_two).withColumn("_j", at_two)
+    return both.select(
+        "view", "resolution", F.least("_i", "_j").cast("long").alias("r"), F.greatest("_i", "_j").cast("long").alias("c"), "cnt"
+    )
+
+
+def letters_contiguous(a: Column, b: Column) -> Column:
+    """F or R if fragments named by a contig and a letter (ctg_A, ctg_B) follow each other, else null."""
+    same = F.substring_index(a, "_", 1) == F.substring_index(b, "_", 1)
+    step = F.ascii(F.substring_index(b, "_", -1)) - F.ascii(F.substring_index(a, "_", -1))
+    return F.when(same & (step == 1), "F").when(same & (step == -1), "R")

@@ -54,3 +54,14 @@ def gap_length(first: Column, second: Column) -> Column:
 def coverage(percent: Column, full: float = 0.12) -> Column:
     """Coverage of a subsample given in percent."""
     return percent / 100 * full
+
+
+def wide_table(rows: DataFrame, keys: list[str], name: str, value: str, columns: list[str]) -> DataFrame:
+    """One row per key, one column per listed name; the inverse of long_table."""
+    return rows.groupBy(*keys).pivot(name, columns).agg(F.first(value))
+
+
+def melted(rows: DataFrame, pairs: dict[str, Column]) -> DataFrame:
+    """(type, value): several columns below each other, without nulls."""
+    entries = F.array(*(F.struct(F.lit(k).alias("type"), c.cast("double").alias("value")) for k, c in pairs.items()))
+    return rows.select(F.explode(entries).alias("_e")).select("_e.*").where(F.col("value").isNotNull())

@@ -109,3 +109,11 @@ def fragment_lines(fragments: DataFrame) -> DataFrame:
 def cutting_position(curve: DataFrame, threshold: float = 0.05) -> DataFrame:
     """(chrom, cut): the middle between the first and the last bin below the threshold."""
     return curve.where(F.col("p") < threshold).groupBy("chrom").agg(((F.min("bin") + F.max("bin")) / 2).alias("cut"))
+
+
+def spliced(curve: DataFrame, full: DataFrame, margin: int = 10) -> DataFrame:
+    """(chrom, bin, p): the curve, with the outer `margin` bins of each contig taken from the full run."""
+    ends = full.groupBy("chrom").agg(F.min("bin").alias("_f"), F.max("bin").alias("_l"))
+    outer = (F.col("bin") < F.col("_f") + margin) | (F.col("bin") > F.col("_l") - margin)
+    inner = curve.join(ends, "chrom").where(~outer).select("chrom", "bin", "p")
+    return inner.union(full.join(ends, "chrom").where(outer).select("chrom", "bin", "p"))

@@ -352,3 +352,41 @@ def edge_trim(spark: SparkSession, sf: str) -> DataFrame:
 @REGISTRY.query(f"with {SERIES} select chrom, round((min(bin) + max(bin)) / 2, 6) as cut from m where p < 0.1 group by chrom")
 def cutting_position(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(segment.cutting_position(segment.corner_mean(_series(spark, sf)), 0.1))
+
+
+@REGISTRY.query(f"""with {SERIES}, e as (select chrom, min(bin) as f, max(bin) as l from m group by chrom)
+select chrom, bin, round(case when bin < f + 10 or bin > l - 10 then p / 2 else p end, 6) as p from m join e using (chrom)""")
+def curve_splice(spark: SparkSession, sf: str) -> DataFrame:
+    curve = segment.corner_mean(_series(spark, sf))
+    return _whole(segment.spliced(curve, curve.withColumn("p", F.col("p") / 2)))
+
+
+@REGISTRY.query(f"with {UPPER} select resolution::bigint as resolution, chrom1 as chrom, bin1::bigint as bin, (bin1 * resolution // 40000)::bigint as bin_40k from u group by 1, 2, 3, 4")
+def bin_rescale(spark: SparkSession, sf: str) -> DataFrame:
+    cells = _cells(spark, sf)
+    scaled = F.when(F.col("resolution") == 5000, contacts.rescaled(F.col("bin1"), 5000, 40000)).otherwise(contacts.rescaled(F.col("bin1"), 25000, 40000))
+    return _whole(cells.select("resolution", F.col("chrom1").alias("chrom"), F.col("bin1").alias("bin"), scaled.alias("bin_40k")).distinct())
+
+
+@REGISTRY.query(f"with {UPPER} select chrom1 as chrom from u union select chrom2 from u")
+def distinct_contigs(spark: SparkSession, sf: str) -> DataFrame:
+    return contacts.contigs(_cells(spark, sf))
+
+
+TILES = """rg as (select chrom1 as chrom, min(bin1) as s, min(bin1) + 40 as e, (ascii(right(chrom1, 1)) % 2 = 1) as turned,
+  case when chrom1 like 'super%' then 'super' else left(chrom1, 3) end as view from u where resolution = 5000 group by chrom1),
+pl as (select *, coalesce(sum(e - s) over (partition by view order by chrom rows between unbounded preceding and 1 preceding), 0) as o from rg)"""
+
+
+@REGISTRY.query(f"""with {UPPER}, {TILES}, t as (
+  select a.view, u.resolution, a.o + case when a.turned then a.e - 1 - bin1 else bin1 - a.s end as i, b.o + case when b.turned then b.e - 1 - bin2 else bin2 - b.s end as j, cnt
+  from u join pl a on a.chrom = chrom1 and bin1 >= a.s and bin1 < a.e join pl b on b.chrom = chrom2 and b.view = a.view and bin2 >= b.s and bin2 < b.e where u.resolution = 5000)
+select view, resolution::bigint as resolution, least(i, j)::bigint as r, greatest(i, j)::bigint as c, cnt from t""")
+def tiled_regions(spark: SparkSession, sf: str) -> DataFrame:
+    cells = _cells(spark, sf).where("resolution = 5000")
+    view = F.when(F.col("chrom1").startswith("super"), "super").otherwise(F.substring("chrom1", 1, 3))
+    regions = cells.groupBy("chrom1").agg(F.min("bin1").alias("bin0")).select(
+        view.alias("view"), F.col("chrom1").alias("place"), F.col("chrom1").alias("chrom"), "bin0", (F.col("bin0") + 40).alias("bin1"),
+        (F.ascii(F.substring("chrom1", -1, 1)) % 2 == 1).alias("turned"),
+    )
+    return _whole(ends.tiled(cells, regions))

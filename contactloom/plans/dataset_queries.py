@@ -415,3 +415,39 @@ def metric_unpivot(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("n"), F.sum("c_acctbal").alias("total"), F.max("c_acctbal").alias("most")
     )
     return report.long_table(wide, ["segment"]).withColumn("value", F.round("value", 2))
+
+
+@REGISTRY.query("""with o as (select lower(regexp_replace(new, '\\s+', '', 'g')) as new, min(lower(regexp_replace(old, '\\s+', '', 'g'))) as old from name_table where new is not null and old is not null group by 1),
+z as (select chrom as contig, max(length) as length from chrom_sizes where chrom is not null and length is not null group by chrom union all select distinct trim(new), 0 from name_table where new is not null)
+select coalesce(o.old, z.contig) as contig, length from z left join o on o.new = lower(regexp_replace(z.contig, '\\s+', '', 'g'))""")
+def rename_contigs(spark: SparkSession, sf: str) -> DataFrame:
+    table_ = table(spark, sf, "name_table")
+    known = contacts.sizes(_sizes(spark, sf)).withColumnRenamed("chrom", "contig")
+    new = table_.where("new is not null").select(F.trim("new").alias("contig")).distinct().withColumn("length", F.lit(0).cast("long"))
+    return dataset.renamed(known.union(new), table_)
+
+
+@REGISTRY.query("""with a as (select o_orderkey as key, o_totalprice as value from orders), b as (select event_id as key, value from events)
+select key, value from b union all select key, value from a where key not in (select key from b where key is not null)""")
+def dict_update(spark: SparkSession, sf: str) -> DataFrame:
+    old = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("value"))
+    return dataset.updated(old, table(spark, sf, "events").select(F.col("event_id").alias("key"), "value"), "key")
+
+
+@REGISTRY.query("""select o_orderpriority as tool, max(o_totalprice) filter (where o_orderstatus = 'F') as "F", max(o_totalprice) filter (where o_orderstatus = 'O') as "O" from orders group by 1""")
+def metric_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    most = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("tool"), "o_orderstatus").agg(F.max("o_totalprice").alias("value"))
+    return report.wide_table(most, ["tool"], "o_orderstatus", "value", ["F", "O"])
+
+
+@REGISTRY.query("""select 'strong' as type, prob as value from prob_net where prob is not null and not isnan(prob) and prob >= 0.5
+union all select 'weak', prob from prob_net where prob is not null and not isnan(prob) and prob < 0.5""")
+def melt_scores(spark: SparkSession, sf: str) -> DataFrame:
+    p = F.when(~F.isnan("prob"), F.col("prob"))
+    return report.melted(table(spark, sf, "prob_net"), {"strong": F.when(p >= 0.5, p), "weak": F.when(p < 0.5, p)})
+
+
+@REGISTRY.query("""select event_id, case when f & 64 <> 0 then 1 else 2 end::bigint as mate from (select event_id, event_id % 256 as f from events) where f & 64 <> 0 or f & 128 <> 0""")
+def read_mates(spark: SparkSession, sf: str) -> DataFrame:
+    reads = table(spark, sf, "events").select("event_id", (F.col("event_id") % 256).alias("flag"))
+    return _whole(contacts.mates(reads).select("event_id", "mate"))
