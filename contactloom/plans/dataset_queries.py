@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contactloom.operators import breakpoints, contacts, dataset, links, metrics, report, scorer, simulate
+from contactloom.operators import breakpoints, contacts, dataset, links, metrics, report, scorer, simulate, training
 from contactloom.plans.contact_queries import _cells, _sizes, _whole
 from contactloom.plans.registry import Registry
 from contactloom.sources.tables import table
@@ -184,6 +184,15 @@ def cnn_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scorer.network_scores(_records(spark, sf))
 
 
+@REGISTRY.query()
+def trained_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the evaluation splits by a network trained on the training split."""
+    images = _records(spark, sf)
+    held = images.where(F.col("split").isin("val", "test"))
+    scored = scorer.network_scores(held, network=training.trained(images.where("split = 'train'"), epochs=5))
+    return scored.join(held.select("sample_id", "split", "y"), "sample_id")
+
+
 @REGISTRY.query(f"with {CONFUSION} select * from cf")
 def confusion(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.confusion(_scored(spark, sf))

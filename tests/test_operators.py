@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from contactloom.functions import names
-from contactloom.operators import breakpoints, contacts, dataset, ends, heavykeys, links, metrics, ranking, report, scorer, segment, simulate, windows
+from contactloom.operators import breakpoints, contacts, dataset, ends, heavykeys, links, metrics, ranking, report, scorer, segment, simulate, training, windows
 from contactloom.plans import pipelines
 
 PIXEL = "resolution int, chrom1 string, bin1 int, chrom2 string, bin2 int, cnt long, extra string"
@@ -304,6 +304,53 @@ def test_network_masks_and_turns():
     assert np.allclose(out[0, 0, 1, :3], 9) and mask[0, 0, 1].tolist() == [1, 1, 1, 0]
 
 
+def test_gradients_by_differences():
+    rng = np.random.default_rng(0)
+    x, y = rng.random((5, 20, 20)).astype(np.float32), np.array([0, 1, 1, 0, 1])
+    x[0, :3], x[1, :, :5] = -1, -1
+    net = scorer.Network(seed=3).ready()
+
+    def loss():
+        p = net.predict(x).astype(float)
+        p, weight = np.where(y == 1, p, 1 - p), np.where(y == 1, 1.0, 1.2)
+        return (-weight * (1 - p) * np.log(p)).mean()
+
+    got = training.gradients(net, x, y, None, 1.0, 1.0, 1.2)
+    for name, w in net.weights.items():
+        at = np.unravel_index(np.abs(got[name]).argmax(), w.shape)
+        kept, around = w[at], []
+        for step in (2e-3, -2e-3):
+            w[at] = kept + step
+            around.append(loss())
+        w[at] = kept
+        assert np.isclose(got[name][at], (around[0] - around[1]) / 4e-3, rtol=0.1, atol=2e-3), name
+
+
+def blocks(n, seed):
+    """Images of two kinds: contacts across the middle (1) or not (0)."""
+    rng = np.random.default_rng(seed)
+    x, y = rng.poisson(12, (n, 20, 20)), rng.integers(0, 2, n)
+    x[y == 0, :10, 10:], x[y == 0, 10:, :10] = 0, 0
+    return [(i, int(b), a.ravel().tolist()) for i, (a, b) in enumerate(zip(x, y))]
+
+
+def test_training_learns(spark):
+    kinds = "sample_id long, y int, x array<int>"
+    rows = blocks(400, 1) + [(900, None, [1] * 400), (901, 2, [1] * 400), (902, 1, None), (903, 0, [1]), (None, 1, [None] * 400)]
+    train, held = spark.createDataFrame(rows, kinds), spark.createDataFrame(blocks(100, 2), kinds)
+    net = training.trained(train, epochs=5, rows_per_task=200)
+    got = scorer.network_scores(held, network=net).join(held, "sample_id").select("y", "prob").collect()
+    assert np.mean([(r.prob >= 0.5) == (r.y == 1) for r in got]) > 0.9
+    # as a table and back
+    again = training.network_of(training.weight_rows(spark, net))
+    assert all(np.array_equal(w, again.weights[n]) for n, w in net.weights.items())
+    # no rows change nothing; a frozen encoder keeps its weights
+    start = scorer.Network(seed=4).ready()
+    assert np.allclose(training.trained(train.limit(0), start, epochs=2).weights["head1"], start.weights["head1"])
+    head = training.trained(train, start, epochs=1, freeze_encoder=True)
+    assert np.array_equal(head.weights["first"], start.weights["first"]) and not np.array_equal(head.weights["head1"], start.weights["head1"])
+
+
 def test_pipelines_with_the_network(spark):
     rng = np.random.default_rng(5)
     rows = as_rows(random_matrix(rng, 40), "a", 5000) + as_rows(random_matrix(rng, 40), "b", 5000) + [(5000, "a", 39, "b", 0, 9), (5000, "a", 38, "b", 2, 4)]
