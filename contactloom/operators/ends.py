@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from contactloom.functions import names
 from contactloom.functions.images import both_mirrors, dense, sorted_cells
 from contactloom.operators import contacts
+from contactloom.operators.ranking import spread
 
 
 def parsed_fragments(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -49,6 +50,19 @@ def contiguous(a0: Column, a1: Column, b0: Column, b1: Column, same_chrom: Colum
     return same_chrom & ((b0 == a1) | (a0 == b1))
 
 
+def noncontiguous_pairs(chrom_sizes: DataFrame, resolution: int, steps: int) -> DataFrame:
+    """(chrom, a0, a1, b0, b1): all pairs of pieces (see sub_positions) of one contig that do not touch, a0 < b0.
+
+    The pieces that do not touch a piece begin one piece beyond its end, so they are listed for each piece
+    without a join; the first pieces are dealt out to all tasks. The pairs grow with the square of a contig's length.
+    """
+    whole = contacts.sizes(chrom_sizes).select("chrom", (F.expr(f"length div {resolution}") - steps).alias("_end"))
+    first = spread(whole, F.lit(0), F.col("_end") - 2 * steps, steps, "a0", width=50)
+    beyond = F.sequence(F.col("a0") + 2 * steps, F.col("_end"), F.lit(steps).cast("long"))
+    pairs = first.select("chrom", "a0", (F.col("a0") + steps).alias("a1"), F.explode(beyond).alias("b0"))
+    return pairs.withColumn("b1", F.col("b0") + steps)
+
+
 def touching_pairs(cells: DataFrame) -> DataFrame:
     """(resolution, chrom1, chrom2, contacts): pairs of different contigs that have contacts at all.
 

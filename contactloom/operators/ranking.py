@@ -48,3 +48,17 @@ def with_running(
 def with_rank(df: DataFrame, group: list[str], bucket: str, order: list[Column], name: str = "rank") -> DataFrame:
     """Adds the rank from 1 in the order (bucket, order) within each group; order must have no ties."""
     return with_running(df, group, bucket, order, F.lit(1).cast("long"), name)
+
+
+def spread(df: DataFrame, first: Column, last: Column, step: int, name: str, width: int = 10_000) -> DataFrame:
+    """Each row once for every number first, first + step, ... up to last, in the new column `name`.
+
+    The numbers are first listed in ranges of `width`, which are dealt out to all tasks, so no row's numbers
+    come together in one task. Rows with last < first are left out.
+    """
+    ranged = df.withColumns({"_first": first.cast("long"), "_last": last.cast("long")}).where("_first <= _last")
+    dealt = ranged.withColumn("_from", F.explode(F.sequence("_first", "_last", F.lit(step * width).cast("long"))))
+    # a given number of tasks, as small ranges would be put together again
+    dealt = dealt.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *df.columns, "_from")
+    upto = F.least(F.col("_last"), F.col("_from") + step * (width - 1))
+    return dealt.withColumn(name, F.explode(F.sequence(F.col("_from"), upto, F.lit(step).cast("long")))).select(*df.columns, name)

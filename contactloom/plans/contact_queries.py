@@ -247,14 +247,14 @@ def fragment_pairs(spark: SparkSession, sf: str) -> DataFrame:
 p as (select chrom, unnest(generate_series(0, length // 25000 - 40, 40)) as bin0 from sz where length // 25000 >= 40 and length < 4000000)
 select a.chrom, a.bin0 as a0, b.bin0 as b0 from p a join p b on a.chrom = b.chrom and a.bin0 < b.bin0 where not (b.bin0 = a.bin0 + 40)""")
 def noncontiguous_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    # contigs of less than 4 Mb, so that each has at most four pieces
-    pieces = ends.sub_positions(_sizes(spark, sf).where("length < 4000000 or length is null"), 25000, 40)
-    whole = _sizes(spark, sf).groupBy("chrom").agg(F.max("length").alias("_l")).where("_l < 4000000")
-    pieces = pieces.join(whole, "chrom", "left_semi")
-    a, b = (pieces.select("chrom", F.col("bin0").alias(f"{n}0"), F.col("bin1").alias(f"{n}1")) for n in "ab")
-    pairs = a.join(b, "chrom").where("a0 < b0")
-    touch = ends.contiguous(F.col("a0"), F.col("a1"), F.col("b0"), F.col("b1"), F.lit(True))
-    return _whole(pairs.where(~touch).select("chrom", "a0", "b0"))
+    # only contigs of less than 4 Mb, as in the SQL; noncontiguous_pairs_all has all of them
+    short = contacts.sizes(_sizes(spark, sf)).where("length < 4000000")
+    return ends.noncontiguous_pairs(short, 25000, 40).select("chrom", "a0", "b0")
+
+
+@REGISTRY.query()
+def noncontiguous_pairs_all(spark: SparkSession, sf: str) -> DataFrame:
+    return ends.noncontiguous_pairs(_sizes(spark, sf), 25000, 40).select("chrom", "a0", "b0")
 
 
 @REGISTRY.query(f"with {UPPER} select chrom, unnest(generate_series(0, length // 25000 - 20, 20)) as bin0, bin0 + 20 as bin1 from sz where length // 25000 >= 20 and length < 1000000000")

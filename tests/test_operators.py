@@ -373,3 +373,17 @@ def test_pipelines_find_a_misjoin(spark):
     got = sorted(tuple(r) for r in pipelines.corrected_contigs(pixels(spark, as_rows(m, "c", 5000)), sizes(spark, c=n * 5000 + 17), threshold=0.05).collect())
     assert got[0][1] == 0 and got[-1][2] == n * 5000 + 17 and len(got) == 2
     assert abs(got[0][2] - 60 * 5000) <= 5 * 5000 and got[0][2] == got[1][1]
+
+
+def test_noncontiguous_pairs_of_contigs_of_any_length(spark):
+    bins = {"short": 39, "one": 40, "two": 80, "three": 125, "long": 40 * 173 + 7}
+    pairs = ends.noncontiguous_pairs(sizes(spark, **{c: n * 25_000 + 3 for c, n in bins.items()}), 25_000, 40)
+    got = sorted(tuple(r) for r in pairs.collect())
+    starts = {c: range(0, n - 39, 40) for c, n in bins.items()}
+    assert got == sorted((c, a, a + 40, b, b + 40) for c, at in starts.items() for a in at for b in at if a < b and b != a + 40)
+
+
+def test_numbers_are_listed_over_ranges(spark):
+    df = spark.createDataFrame([("a", 0, 25), ("b", 3, 3), ("c", 5, 4), ("d", 0, None)], "k string, lo long, hi long")
+    got = sorted((r.k, r.n) for r in ranking.spread(df, F.col("lo"), F.col("hi"), 5, "n", width=2).collect())
+    assert got == [("a", n) for n in range(0, 26, 5)] + [("b", 3)]
