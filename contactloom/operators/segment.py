@@ -12,6 +12,22 @@ def corner_mean(scores: DataFrame) -> DataFrame:
     return both.select("chrom", "bin", ((F.col("p2") + F.col("p3")) / 2).alias("p"))
 
 
+def filled(curve: DataFrame, spans: DataFrame, blank: float | None) -> DataFrame:
+    """(chrom, bin, p): all bins first to last of each contig of spans (chrom, first, last), p = blank where the curve has none.
+
+    Each scored bin lists the bins up to the next one, in the task that follows its contig.
+    """
+    scored = curve.select("chrom", F.col("bin").cast("long").alias("bin"), F.col("p").cast("double").alias("p"))
+    starts = spans.select("chrom", F.col("first").cast("long").alias("bin"), F.col("last").cast("long").alias("_last"))
+    both = scored.withColumn("_last", F.lit(None).cast("long")).unionByName(starts.withColumn("p", F.lit(None).cast("double")))
+    marks = both.groupBy("chrom", "bin").agg(F.max("p").alias("p"), F.max("_last").alias("_last"))
+    along = Window.partitionBy("chrom").orderBy("bin")
+    upto = F.coalesce(F.lead("bin").over(along) - 1, F.max("_last").over(Window.partitionBy("chrom")))
+    listed = marks.withColumn("_to", upto).withColumn("_at", F.explode(F.sequence("bin", "_to")))
+    p = F.when((F.col("_at") == F.col("bin")) & F.col("p").isNotNull(), F.col("p")).otherwise(F.lit(blank).cast("double"))
+    return listed.select("chrom", F.col("_at").alias("bin"), p.alias("p"))
+
+
 def smoothed(curve: DataFrame, window: int = 20) -> DataFrame:
     """(chrom, bin, p): the moving average over `window` bins, zeros beyond both ends; contigs with fewer bins stay as they are."""
     along = Window.partitionBy("chrom").orderBy("bin").rowsBetween(-(window // 2), window - window // 2 - 1)

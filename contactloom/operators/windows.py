@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contactloom.functions.images import both_mirrors, dense, sorted_cells
 from contactloom.operators import contacts
+from contactloom.operators.ranking import spread
 
 WINDOW = ["resolution", "chrom", "pos"]
 
@@ -27,10 +28,28 @@ def positions(cells: DataFrame, chrom_sizes: DataFrame, half: int = 10) -> DataF
     return ranged.select("resolution", "chrom", F.explode(F.sequence("_from", "_to")).alias("pos"), "lo", "hi", "cnt")
 
 
+def spans(chrom_sizes: DataFrame, resolutions: DataFrame, half: int = 10) -> DataFrame:
+    """(resolution, chrom, first, last): the positions S to n - S of each contig that has any, with contacts or without."""
+    ranged = contacts.sizes(chrom_sizes).crossJoin(F.broadcast(resolutions.select("resolution").distinct()))
+    last = F.expr(f"length div resolution - {half}")
+    return ranged.select("resolution", "chrom", F.lit(half).cast("long").alias("first"), last.alias("last")).where("first <= last")
+
+
+def every_position(chrom_sizes: DataFrame, resolutions: DataFrame, half: int = 10) -> DataFrame:
+    """(resolution, chrom, pos): all positions of spans; their number follows the lengths, not the contacts."""
+    return spread(spans(chrom_sizes, resolutions, half), F.col("first"), F.col("last"), 1, "pos").select(*WINDOW)
+
+
 def window_sums(cells: DataFrame, chrom_sizes: DataFrame, half: int = 10, least: int = 1) -> DataFrame:
-    """(resolution, chrom, pos, total): the sum of each window with at least `least`; mirrored cells count twice."""
+    """(resolution, chrom, pos, total): the sum of each window with at least `least`; mirrored cells count twice.
+
+    With `least` 0 or below, windows without contacts are listed too, at all resolutions of cells.
+    """
     twice = F.when(F.col("lo") == F.col("hi"), F.col("cnt")).otherwise(2 * F.col("cnt"))
-    return positions(cells, chrom_sizes, half).groupBy(*WINDOW).agg(F.sum(twice).alias("total")).where(F.col("total") >= least)
+    sums = positions(cells, chrom_sizes, half).select(*WINDOW, twice.alias("total"))
+    if least <= 0:
+        sums = sums.union(every_position(chrom_sizes, cells, half).withColumn("total", F.lit(0).cast("long")))
+    return sums.groupBy(*WINDOW).agg(F.sum("total").alias("total")).where(F.col("total") >= least)
 
 
 def window_cells(cells: DataFrame, chrom_sizes: DataFrame, half: int = 10) -> DataFrame:
@@ -47,11 +66,18 @@ def rotated(window: DataFrame, half: int = 10) -> DataFrame:
     return window.withColumns({"r": F.lit(last) - F.col("r"), "c": F.lit(last) - F.col("c")})
 
 
-def images(window: DataFrame, half: int = 10, key: list[str] | None = None) -> DataFrame:
-    """(key, x): dense images of window cells, row by row, missing cells 0. A window holds 4 S^2 cells at most."""
+def images(window: DataFrame, half: int = 10, key: list[str] | None = None, every: DataFrame | None = None) -> DataFrame:
+    """(key, x): dense images of window cells, row by row, missing cells 0. A window holds 4 S^2 cells at most.
+
+    Windows without cells have an image only if `every` (key; see every_position) lists them.
+    """
     side = 2 * half
     cells = window.groupBy(*(key or WINDOW)).agg(sorted_cells(F.col("r") * side + F.col("c"), F.col("cnt")).alias("_cells"))
-    return cells.select(*(key or WINDOW), dense("_cells", side * side).alias("x"))
+    made = cells.select(*(key or WINDOW), dense("_cells", side * side).alias("x"))
+    if every is None:
+        return made
+    blank = F.array_repeat(F.lit(0), side * side).cast(made.schema["x"].dataType)
+    return every.join(made, key or WINDOW, "left").withColumn("x", F.coalesce("x", blank))
 
 
 def labelled(windows: DataFrame, breakpoints: DataFrame, half: int = 10, tolerance: int = 7) -> DataFrame:

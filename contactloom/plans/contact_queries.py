@@ -121,6 +121,11 @@ def window_sums(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(windows.window_sums(_cells(spark, sf), _sizes(spark, sf)))
 
 
+@REGISTRY.query()
+def window_sums_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _whole(windows.window_sums(_cells(spark, sf), _sizes(spark, sf), least=0))
+
+
 WINDOW_CELLS = POSITIONS + """, wc as (
   select resolution::bigint as resolution, chrom, pos, lo - pos + 10 as r, hi - pos + 10 as c, cnt from w
   union all select resolution::bigint, chrom, pos, hi - pos + 10, lo - pos + 10, cnt from w where lo <> hi)"""

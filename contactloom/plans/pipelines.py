@@ -43,15 +43,20 @@ def corrected_contigs(
     score: Scorer = plain_scorer,
     quantile: float | None = None,
 ) -> DataFrame:
-    """(chrom, start, end) in bp: the parts of each contig that has scored windows.
+    """(chrom, start, end) in bp: the parts of each contig that has windows.
 
     Every window along the diagonal and its turned copy are scored; where the mean is below the
     threshold, and no low-complexity region (chrom, b0, b1) excuses it, the contig is cut. With
     `quantile` (0.95, say) images are normalised by that quantile of the band before they are scored.
+    A score follows from its image alone, so windows without contacts, which all have the same image,
+    are scored as one: bin 0 of a contig without a name.
     """
     cells = contacts.upper(pixels.where(F.col("resolution") == resolution))
     near = windows.window_cells(cells, chrom_sizes, half)
     images = windows.images(near, half)
+    zeros = F.array_repeat(F.lit(0), 4 * half * half).cast(images.schema["x"].dataType)
+    blank = pixels.sparkSession.range(1).select(F.lit(resolution).alias("resolution"), F.lit("").alias("chrom"), F.lit(0).cast("long").alias("pos"), zeros.alias("x"))
+    images = images.unionByName(blank)
     if quantile:
         images = normalised(images, cells, chrom_sizes, half, quantile)
     # the second corner is the image turned by 180 degrees, its cells in reverse
@@ -68,17 +73,20 @@ def corrected_contigs(
     both = place.groupBy("chrom", "bin").agg(
         F.max(F.when(F.col("corner") == "C2", F.col("prob"))).alias("p2"), F.max(F.when(F.col("corner") == "C3", F.col("prob"))).alias("p3")
     )
-    curve = segment.corner_mean(both)
+    # scored once; the score of empty windows and the parts both need it
+    curve = cut(segment.corner_mean(both))
+    empty = curve.where("bin = 0").first()
+    spans = windows.spans(chrom_sizes, blank, half).drop("resolution")
+    curve = segment.filled(curve.where("bin <> 0"), spans, empty and empty.p)
     if smoothing:
         curve = segment.smoothed(curve)
-    # scored once; the parts and their ends both need it
-    curve = cut(curve)
     if regions is None:
         curve = curve.withColumn("masked", F.lit(False))
     else:
         curve = segment.masked(curve, regions)
     merged = segment.merged_parts(segment.runs(curve, threshold), least_bins)
-    return segment.trimmed(merged, curve, contacts.sizes(chrom_sizes), resolution)
+    ends_of = spans.select("chrom", F.explode(F.array("first", "last")).alias("bin"))
+    return segment.trimmed(merged, ends_of, contacts.sizes(chrom_sizes), resolution)
 
 
 def scaffolding_graph(

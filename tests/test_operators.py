@@ -387,3 +387,36 @@ def test_numbers_are_listed_over_ranges(spark):
     df = spark.createDataFrame([("a", 0, 25), ("b", 3, 3), ("c", 5, 4), ("d", 0, None)], "k string, lo long, hi long")
     got = sorted((r.k, r.n) for r in ranking.spread(df, F.col("lo"), F.col("hi"), 5, "n", width=2).collect())
     assert got == [("a", n) for n in range(0, 26, 5)] + [("b", 3)]
+
+
+def test_windows_without_contacts_exist(spark):
+    m = np.zeros((70, 70), dtype=int)
+    m[:25, :25], m[50:, 50:] = 1, 2
+    cells, size = contacts.upper(pixels(spark, as_rows(m))), sizes(spark, c=700, other=205, tiny=199)
+    want = {("c", p): m[p - 10 : p + 10, p - 10 : p + 10] for p in range(10, 61)} | {("other", 10): np.zeros((20, 20), dtype=int)}
+    sums = {(r.chrom, r.pos): r.total for r in windows.window_sums(cells, size, least=0).collect()}
+    assert sums == {k: int(w.sum()) for k, w in want.items()} and 0 in sums.values()
+    every = windows.every_position(size, cells)
+    made = {(r.chrom, r.pos): r.x for r in windows.images(windows.window_cells(cells, size), every=every).collect()}
+    assert made == {k: [int(v) for v in w.ravel()] for k, w in want.items()}
+
+
+def test_filled_curve(spark):
+    curve = spark.createDataFrame([("a", 12, 0.5), ("a", 15, 0.7), ("b", 10, 0.2)], "chrom string, bin long, p double")
+    spans = spark.createDataFrame([("a", 10, 16), ("b", 10, 10), ("c", 10, 11)], "chrom string, first long, last long")
+    got = sorted(tuple(r) for r in segment.filled(curve, spans, 0.0).collect())
+    assert got == [("a", b, {12: 0.5, 15: 0.7}.get(b, 0.0)) for b in range(10, 17)] + [("b", 10, 0.2), ("c", 10, 0.0), ("c", 11, 0.0)]
+
+
+def test_pipelines_cut_at_a_gap_without_contacts(spark):
+    n = 200
+    near = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
+    m = np.where(near < 25, 5, 0)
+    m[75:125], m[:, 75:125] = 0, 0
+    df, size = pixels(spark, as_rows(m, "c", 5000)), sizes(spark, c=n * 5000, empty=n * 5000)
+    got = sorted(tuple(r) for r in pipelines.corrected_contigs(df, size).collect())
+    assert len(got) == 3 and got[0][1] == 0 and got[-1][2] == n * 5000 and {r[0] for r in got} == {"c"}
+    assert abs(got[1][1] - 75 * 5000) <= 10 * 5000 and abs(got[1][2] - 125 * 5000) <= 10 * 5000
+    # a scorer that gives empty windows more than the threshold keeps contigs whole
+    kept = pipelines.corrected_contigs(df, size, score=lambda images, key: images.select(key, F.lit(0.5).alias("prob")))
+    assert sorted(tuple(r) for r in kept.collect()) == [("c", 0, n * 5000), ("empty", 0, n * 5000)]
