@@ -38,11 +38,9 @@ def with_unseen(fragments: DataFrame, chrom_sizes: DataFrame, resolution: int, l
 
 def sub_positions(chrom_sizes: DataFrame, resolution: int, steps: int) -> DataFrame:
     """(chrom, bin0, bin1): pieces of `steps` bins of each contig; the last incomplete one is dropped."""
-    n = F.expr(f"length div {resolution}")
-    pieces = contacts.sizes(chrom_sizes).withColumn("_n", n).where(F.col("_n") >= steps)
-    return pieces.select(
-        "chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - steps, F.lit(steps).cast("long"))).alias("bin0")
-    ).withColumn("bin1", F.col("bin0") + steps)
+    whole = contacts.sizes(chrom_sizes).withColumn("_n", F.expr(f"length div {resolution}"))
+    pieces = spread(whole, F.lit(0), F.col("_n") - steps, steps, "bin0")
+    return pieces.select("chrom", "bin0", (F.col("bin0") + steps).alias("bin1"))
 
 
 def contiguous(a0: Column, a1: Column, b0: Column, b1: Column, same_chrom: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactloom.operators.ranking import spread
+
 
 def broken(contigs: DataFrame, size: int, legacy: bool = False) -> DataFrame:
     """(chrom, piece, start, end): contigs cut into even pieces of about `size` bases; shorter ones give none.
@@ -54,9 +56,9 @@ def chimeras(contigs: DataFrame, half: int, rounds: int = 1, least: int = 0, mos
     piece is used twice. Two pieces of one contig are joined only if they are `least` to `most` apart.
     A quarter of the joins inverts the second piece.
     """
+    whole = contigs.dropna(subset=["chrom", "length"]).select("chrom", "length")
     pieces = (
-        contigs.dropna(subset=["chrom", "length"]).where(F.col("length") >= half)
-        .select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - half, F.lit(half).cast("long"))).alias("start"))
+        spread(whole, F.lit(0), F.col("length") - half, half, "start").drop("length")
         .withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
         .withColumn("_h", F.xxhash64("chrom", "start", "round", F.lit(seed)))
     )

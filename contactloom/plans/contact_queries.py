@@ -267,6 +267,11 @@ def sub_positions(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(ends.sub_positions(_sizes(spark, sf).groupBy("chrom").agg(F.max("length").alias("length")).where("length < 1000000000"), 25000, 20))
 
 
+@REGISTRY.query(f"with {UPPER} select chrom, unnest(generate_series(0, length // 25000 - 20, 20)) as bin0, bin0 + 20 as bin1 from sz where length // 25000 >= 20")
+def sub_positions_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _whole(ends.sub_positions(_sizes(spark, sf), 25000, 20))
+
+
 END_PAIRS = UPPER + """,
 e as (select chrom, resolution, length // resolution as n, side from sz, (select distinct resolution from u), (values (0), (1)) t(side)),
 x as (

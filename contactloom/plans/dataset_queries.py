@@ -367,7 +367,7 @@ def reverse_complement(spark: SparkSession, sf: str) -> DataFrame:
 
 @REGISTRY.query()
 def simulate_chimeras(spark: SparkSession, sf: str) -> DataFrame:
-    return simulate.chimeras(contacts.sizes(_sizes(spark, sf)).where("length < 1000000000"), 50_000, rounds=2)
+    return simulate.chimeras(contacts.sizes(_sizes(spark, sf)), 50_000, rounds=2)
 
 
 # reports: priorities of orders as tools, years as data sets

@@ -23,4 +23,4 @@ def scaffolding_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 @REGISTRY.query()
 def simulated_breakpoints(spark: SparkSession, sf: str) -> DataFrame:
-    return pipelines.found_breakpoints(table(spark, sf, "chrom_sizes").where("length < 1000000000"))
+    return pipelines.found_breakpoints(table(spark, sf, "chrom_sizes"))
