@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.operators.ranking import spread
+from contactloom.operators.ranking import buckets_for, hash_bucket, spread, with_rank
+from contactloom.session import cut
+
+#: so many pieces of refused pairs, at most, go to the last matching as long as random orders still join many
+FEW = 20_000
 
 
 def broken(contigs: DataFrame, size: int, legacy: bool = False) -> DataFrame:
@@ -48,32 +55,89 @@ def reverse_complement(seq: Column) -> Column:
     return F.when(upper.rlike("^[ACGTN]*$"), F.translate(F.reverse(upper), "ACGT", "TGCA"))
 
 
+def last_pairs(pieces: list[tuple[str, int]], least: int, most: int) -> list[tuple[tuple[str, int], tuple[str, int]]]:
+    """Pairs of (chrom, start), such that no two pieces that are left could be joined.
+
+    First pieces of different contigs: in the order of the contigs a piece meets the one half of all further
+    on, and only the contig with more than half of the pieces meets itself. Its refused pieces then meet the
+    next free one that is far enough away.
+    """
+    pieces = sorted(pieces)
+    half = len(pieces) // 2
+    pairs, left = [], pieces[half : len(pieces) - half]
+    for a, b in zip(pieces[:half], pieces[len(pieces) - half :], strict=True):
+        if a[0] != b[0]:
+            pairs.append((a, b))
+        else:
+            left += [a, b]
+    left.sort()
+    used, at = [False] * len(left), 0
+    for i, (_, start) in enumerate(left):
+        if used[i]:
+            continue
+        at = max(at, i + 1)
+        while at < len(left) and (used[at] or left[at][1] - start < max(least, 1)):
+            at += 1
+        if at < len(left) and left[at][1] - start <= most:
+            used[i] = used[at] = True
+            pairs.append((left[i], left[at]))
+    return pairs
+
+
+def _last_pairs(least: int, most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """last_pairs of the pieces of one round, for applyInPandas."""
+
+    def made(pieces: pd.DataFrame) -> pd.DataFrame:
+        found = last_pairs(list(zip(pieces["chrom"], pieces["start"].astype(int), strict=True)), least, most)
+        rows = [(pieces["round"].iloc[0], k, *a, *b) for k, (a, b) in enumerate(found, 1)]
+        return pd.DataFrame(rows, columns=["round", "_k", "chrom1", "start1", "chrom2", "start2"])
+
+    return made
+
+
 def chimeras(contigs: DataFrame, half: int, rounds: int = 1, least: int = 0, most: int = 5_000_000, seed: int = 7) -> DataFrame:
     """(name, round, chrom1, start1, chrom2, start2, inverted): joins of two pieces of `half` bases each.
 
     Pieces begin every half bases of contigs that are long enough. In every round the pieces are put in
     a random order (by a hash, so that it is the same in every run), neighbours of it are joined, and no
-    piece is used twice. Two pieces of one contig are joined only if they are `least` to `most` apart.
-    A quarter of the joins inverts the second piece.
+    piece is used twice. Two pieces of one contig are joined only if they are `least` to `most` apart; the
+    pieces of refused pairs are ordered anew among themselves. When few are left, or most are refused as they
+    are of one contig, last_pairs joins what can be joined, one round in a task: at the end no two pieces
+    are left that could be joined. A quarter of the joins inverts the second piece.
     """
     whole = contigs.dropna(subset=["chrom", "length"]).select("chrom", "length")
     pieces = (
         spread(whole, F.lit(0), F.col("length") - half, half, "start").drop("length")
         .withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-        .withColumn("_h", F.xxhash64("chrom", "start", "round", F.lit(seed)))
     )
-    # two pieces meet if they share a slot: hashes are cut into slots so wide that most hold one or two
-    count = pieces.where("round = 1").count()
-    slots = max(1, count // 2)
-    slotted = pieces.withColumn("_slot", F.pmod("_h", F.lit(slots)))
-    pair = slotted.groupBy("round", "_slot").agg(F.min(F.struct("_h", "chrom", "start")).alias("a"), F.max(F.struct("_h", "chrom", "start")).alias("b"))
-    apart = F.abs(F.col("a.start") - F.col("b.start"))
-    allowed = (F.col("a.chrom") != F.col("b.chrom")) | apart.between(max(least, 1), most)
-    return pair.where(F.col("a") != F.col("b")).where(allowed).select(
-        F.format_string("sim_%d_%d", "round", "_slot").alias("name"), "round",
-        F.col("a.chrom").alias("chrom1"), F.col("a.start").alias("start1"),
-        F.col("b.chrom").alias("chrom2"), F.col("b.start").alias("start2"),
-        (F.pmod(F.xxhash64("a.chrom", "b.start"), F.lit(4)) == 0).alias("inverted"),
+    apart = F.abs(F.col("start1") - F.col("start2"))
+    allowed = (F.col("chrom1") != F.col("chrom2")) | apart.between(max(least, 1), most)
+    columns = ["round", "_k", "chrom1", "start1", "chrom2", "start2"]
+    made, left, count, attempt = [], pieces, pieces.count(), 0
+    while count > FEW:
+        hashed = left.withColumn("_h", F.xxhash64("chrom", "start", "round", F.lit(seed), F.lit(attempt)))
+        hashed = hashed.withColumn("_b", hash_bucket(F.col("_h"), buckets_for(count)))
+        ranked = with_rank(hashed, ["round"], "_b", [F.col("_h"), F.col("chrom"), F.col("start")], "_rank")
+        one = F.struct("_rank", "chrom", "start")
+        pair = ranked.groupBy("round", F.expr("(_rank + 1) div 2").alias("_k")).agg(F.min(one).alias("a"), F.max(one).alias("b"))
+        pair = pair.select(
+            "round", "_k", F.col("a.chrom").alias("chrom1"), F.col("a.start").alias("start1"), F.col("b.chrom").alias("chrom2"), F.col("b.start").alias("start2"),
+        )
+        # read twice: for the joins and for what is refused; a last odd piece meets itself
+        pair = cut(pair.withColumn("_ok", allowed))
+        made.append(pair.where("_ok").select(F.lit(attempt).alias("_attempt"), *columns))
+        ends = F.array_distinct(F.array(*(F.struct(F.col(f"chrom{i}").alias("chrom"), F.col(f"start{i}").alias("start")) for i in (1, 2))))
+        left = pair.where(~F.col("_ok")).select("round", F.explode(ends).alias("_p")).select("_p.chrom", "_p.start", "round")
+        before, count, attempt = count, left.count(), attempt + 1
+        if count > 0.9 * before:
+            break
+    last = left.groupBy("round").applyInPandas(_last_pairs(least, most), "round int, _k long, chrom1 string, start1 long, chrom2 string, start2 long")
+    joined = last.select(F.lit(attempt).alias("_attempt"), *columns)
+    for part in made:
+        joined = joined.union(part)
+    return joined.select(
+        F.format_string("sim_%d_%d_%d", "round", "_attempt", "_k").alias("name"), "round", "chrom1", "start1", "chrom2", "start2",
+        (F.pmod(F.xxhash64("chrom1", "start2"), F.lit(4)) == 0).alias("inverted"),
     )
 
 
