@@ -20,6 +20,14 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.overlap_pairs(table(spark, sf, "images"))
 
 
+def p1_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.overlaps(table(spark, sf, "images"))
+
+
+def p1_records(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.overlap_records(table(spark, sf, "images"))
+
+
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.overlap_report(table(spark, sf, "images"))
 
@@ -88,7 +96,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_report, p2_found, p2_report, p2_sample, p3_found, p3_splits, p3_balance, p4_found, p4_best_links,
+            p1_found, p1_overlaps, p1_records, p1_report, p2_found, p2_report, p2_sample, p3_found, p3_splits, p3_balance, p4_found, p4_best_links,
             p6_ids, p7_mix, p7_shares, p8_found, p8_rates, p8_limits,
         )
     }

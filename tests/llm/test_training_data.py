@@ -80,25 +80,112 @@ def test_overlap_report_and_empty(spark):
     assert overlap.overlap_pairs(images(spark, [])).count() == 0
 
 
+def as_classes(spark, rows):
+    """rows of (id, train, prints) as classes without anything else to go by."""
+    schema = "id long, train boolean, held boolean, side int, filled int, padded boolean, prints array<int>"
+    return spark.createDataFrame([(i, t, not t, 20, 400, False, sorted(p)) for i, t, p in rows], schema)
+
+
 def test_hot_fingerprints_lose_nothing(spark):
     rng = random.Random(3)
-    rows = [(i, [rng.randrange(6) for _ in range(4)] + [100 + i % 9]) for i in range(80)]
-    make = lambda n, part: spark.createDataFrame([(f"{i}".encode(), i, sorted(set(p))) for i, p in rows if i % 2 == part], f"class_{n} binary, id_{n} long, prints array<long>")
-    one, two = make("a", 0), make("b", 1)
-    plain = {(r.id_a, r.id_b) for r in overlap.chained(one, two, None).collect()}
-    hot = spark.createDataFrame([(i,) for i in range(6)], "print long")
-    assert {(r.id_a, r.id_b) for r in overlap.chained(one, two, hot).collect()} == plain
-    classes = one.union(two.toDF("class_a", "id_a", "prints"))
-    found = {r[0] for r in overlap.hot_prints(classes, share=0.2, least=5).collect()}
-    counts = Counter(p for _, ps in rows for p in set(ps))
-    assert found == {p for p, n in counts.items() if n >= 16}
+    rows = []
+    for i in range(0, 80, 2):
+        # two of 50 fingerprints are hot: one of all images, one of every other; pairs share 20 and more besides or nothing
+        own = {2 * rng.randrange(10**6) for _ in range(40)}
+        rows += [(i, True, own | {0, 2 * (1 + i % 4)}), (i + 1, False, set(sorted(own)[:20]) | {0, 2 * (1 + i % 4)})]
+    classes = as_classes(spark, rows)
+    shared = {(a, b) for a, t, p in rows for b, u, q in rows if t and not u and len(p & q) >= 2}
+    assert {(r.id_a, r.id_b) for r in overlap.chained(classes, most=10**6).collect()} == shared
+    near = {(i, i + 1) for i in range(0, 80, 2)}
+    found = {(r.id_a, r.id_b) for r in overlap.chained(classes, most=5).collect()}
+    # images that share hot fingerprints only may meet or not; the others all do
+    assert near <= found <= shared
+    hot = {r[0] for r in overlap.hot_prints(classes.select(F.explode("prints").alias("print")), 4000, 5).collect()}
+    counts = Counter(p for _, _, ps in rows for p in ps)
+    assert hot == {p for p, n in counts.items() if n > 5}
+
+
+def test_equal_hot_fingerprints_all_meet(spark):
+    rows = [(i, i % 3 == 0, {2, 4, 6, 8}) for i in range(60)]
+    found = {(r.id_a, r.id_b) for r in overlap.chained(as_classes(spark, rows), most=4).collect()}
+    assert found == {(a, b) for a in range(60) for b in range(60) if a % 3 == 0 and b % 3}
 
 
 def test_fingerprints_ignore_transposition():
-    x = np.random.default_rng(0).poisson(2, (1, 20, 20)).astype(np.int32)
-    t = x.transpose(0, 2, 1)
-    prints = lambda a, b: set(overlap.fingerprints(np.concatenate([a, b], 1))[0]) - {0}
-    assert prints(x, t) == prints(t, x)
+    rng = np.random.default_rng(0)
+    for side in (13, 20, 31):
+        x = rng.poisson(0.4, (5, side, side)).astype(np.int32)
+        x[:, :2] = -1
+        t = np.ascontiguousarray(x.transpose(0, 2, 1))
+        (rows, a), (others, b) = overlap._seeds(x), overlap._seeds(t)
+        assert {*zip(rows, a)} == {*zip(others, b)} and len(a)
+        assert (overlap._digest(x) == overlap._digest(t)).all() and len({d.tobytes() for d in overlap._digest(x)}) == 5
+
+
+def changed(rng, x, valid, symmetric):
+    """x with a tenth of the cells of its last `valid` rows and columns changed, the rest as padding."""
+    y, at, left = x.copy(), [(r, c) for r in range(len(x) - valid, len(x)) for c in range(len(x) - valid, len(x)) if r <= c or not symmetric], valid * valid // 10
+    rng.shuffle(at)
+    for r, c in at:
+        cost = 2 if symmetric and r != c else 1
+        if cost <= left:
+            left -= cost
+            y[r, c] += 1
+            y[c, r] = y[c, r] if not symmetric else y[r, c]
+    y[: len(x) - valid], y[:, : len(x) - valid] = -1, -1
+    return y
+
+
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_recall_at_every_density(symmetric):
+    rng = np.random.default_rng(2)
+    seeds = lambda x: set(overlap._seeds(np.ascontiguousarray(x)[None].astype(np.int32))[1].tolist())
+    for fill in (0.01, 0.03, 0.1, 0.2, 0.3, 0.5):
+        for valid in (13, 16, 20):
+            missed = 0
+            for k in range(40):
+                x = rng.geometric(0.4, (20, 20)) * (rng.random((20, 20)) < fill)
+                x = np.triu(x) + np.triu(x, 1).T if symmetric else x
+                y = changed(rng, x, valid, symmetric)
+                y = y.T if k % 2 else y
+                shared, most = seeds(x) & seeds(y), max((x > 0).sum(), (y > 0).sum())
+                cells = sum(p % 2 for p in shared)
+                missed += not (len(shared) - cells >= 2 or cells and (valid < 20 or 2 * cells >= most - 40) or (x > 0).sum() + (y > 0).sum() <= 42)
+            assert missed == 0, (fill, valid)
+
+
+def test_sparse_and_other_sizes_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows, n = [], 0
+    for side, fill in ((20, 0.02), (20, 0.08), (20, 0.15), (13, 0.4), (27, 0.1), (12, 0.5)):
+        for k in range(14):
+            if k % 7 == 0:
+                x = rng.geometric(0.4, (side, side)) * (rng.random((side, side)) < fill)
+            y = x.copy()
+            at = rng.integers(0, side * side, [0, side * side // 12, side * side // 8][k % 3])
+            y.ravel()[at] = rng.geometric(0.4, len(at)) * (rng.random(len(at)) < fill)
+            y = y.T if k % 4 == 1 else y
+            rows.append((n, None, 1, 1, [int(v) for v in y.ravel()], 5000, "s", ["train", "val"][k % 2]))
+            n += 1
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[7] == "train" and b[7] == "val" and max(a[4]) > 0 and max(b[4]) > 0 and len(a[4]) == len(b[4]):
+                side = int(len(a[4]) ** 0.5)
+                x, y = np.array(a[4]).reshape(side, side), np.array(b[4]).reshape(side, side)
+                if any((x == z).all() or (x.size >= 150 and (x == z).sum() * 10 >= 9 * x.size) for z in (y, y.T)):
+                    want.add((min(a[0], b[0]), max(a[0], b[0])))
+    assert {tuple(r) for r in overlap.overlap_pairs(images(spark, rows)).collect()} == want and len(want) > 100
+
+
+def test_overlap_records_count_what_pairs_show(spark):
+    rows = near_images() + [(200 + i, f"CTG{i}_1_c2", 1, 1, near_images()[0][4], 5000, "t", "train" if i < 5 else "val") for i in range(8)]
+    df = images(spark, rows + rows[:7])
+    pairs = overlap.overlaps(df).collect()
+    copies, near, named = Counter(r.held_id for r in pairs if r.by_copy), Counter(r.held_id for r in pairs if r.by_prints), Counter(r.held_id for r in pairs if r.by_name)
+    got = {r.sample_id: r for r in overlap.overlap_records(df).collect()}
+    assert set(got) == {r[0] for r in rows if r[7] in ("val", "test")}
+    assert all((r.copies, r.near, r.named) == (copies[i], near[i], named[i]) for i, r in got.items()) and sum(named.values()) and sum(copies.values())
 
 
 TARGET = "target_id long, target_set string, y int, grp_type string, bin_size int, share double, min_rows long, sample_rows long, sample_id int, `rank` int"
