@@ -46,11 +46,16 @@ def p2_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.tied_groups(table(spark, sf, "images"), table(spark, sf, "name_table"))
+    placed = splits.grouped_splits(table(spark, sf, "images"), table(spark, sf, "name_table"), table(spark, sf, "split_targets"))
+    return splits.placed_pairs(placed)
+
+
+def p3_components(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.tied_components(table(spark, sf, "images"), table(spark, sf, "name_table"))
 
 
 def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
-    return splits.grouped_splits(table(spark, sf, "images"), table(spark, sf, "name_table"), table(spark, sf, "split_targets"))
+    return splits.grouped_splits(table(spark, sf, "images"), table(spark, sf, "name_table"), table(spark, sf, "split_targets")).drop("grp")
 
 
 def p3_balance(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,7 +101,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_overlaps, p1_records, p1_report, p2_found, p2_report, p2_sample, p3_found, p3_splits, p3_balance, p4_found, p4_best_links,
+            p1_found, p1_overlaps, p1_records, p1_report, p2_found, p2_report, p2_sample, p3_found, p3_components, p3_splits, p3_balance, p4_found, p4_best_links,
             p6_ids, p7_mix, p7_shares, p8_found, p8_rates, p8_limits,
         )
     }

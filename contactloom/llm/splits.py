@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.functions import names
+from contactloom.operators.pairing import paired
 from contactloom.operators.ranking import buckets_for, hash_bucket, with_rank
 from contactloom.session import cut
 
@@ -19,32 +20,41 @@ def node(grp: Column, sample_id: Column) -> Column:
     return F.coalesce(F.shiftleft(grp, 1), F.shiftleft(sample_id, 1) + 1)
 
 
-def original_contigs(used: DataFrame, name_table: DataFrame, most_steps: int = 1000) -> DataFrame:
+def original_contigs(used: DataFrame, name_table: DataFrame) -> DataFrame:
     """(contig, origin): for each name in used that name_table renames, all names it goes back to.
 
     Names are compared plain. From new to old as far as it goes; a joined contig goes back to several.
-    Names that only lead round in a circle go back to the least name of the circle.
+    Names that only lead round in circles go back to the least name of all that hang together with theirs.
+
+    Pointers double: every round joins the names that a name has reached with what these have reached, so a
+    chain of n names takes log2(n) rounds. After as many rounds as the table can need, whatever still
+    goes on leads round in a circle.
     """
     table = cut(
         name_table.select(names.plain(F.col("new")).alias("new"), names.plain(F.col("old")).alias("old"))
         .where("new is not null and old is not null and new <> old")
         .distinct()
     )
-    renamed = table.select("new").distinct()
-    seen = cut(used.select(F.col("contig"), F.col("contig").alias("at")).join(renamed, F.col("contig") == F.col("new"), "left_semi"))
-    step = seen
-    for _ in range(most_steps):
-        step = cut(
-            step.join(table, F.col("at") == F.col("new")).select("contig", F.col("old").alias("at")).distinct()
-            .join(seen, ["contig", "at"], "left_anti")
-        )
-        if step.isEmpty():
+    renamed = cut(table.select(F.col("new").alias("at")).distinct().withColumn("_goes_on", F.lit(True)))
+    longest = max(renamed.count(), 1)
+    # (new, at, goes on): what each name has reached; as long as it goes on, it is 2^k steps away
+    reached = cut(table.withColumnRenamed("old", "at").join(renamed, "at", "left").select("new", "at", "_goes_on"))
+    for _ in range(longest.bit_length()):
+        further = reached.where("_goes_on")
+        if further.isEmpty():
             break
-        seen = seen.union(step)
-    marked = seen.join(renamed.withColumnRenamed("new", "at").withColumn("_goes_on", F.lit(True)), "at", "left")
-    ends = marked.where("_goes_on is null").select("contig", F.col("at").alias("origin"))
-    circles = marked.join(ends, "contig", "left_anti").groupBy("contig").agg(F.min("at").alias("origin"))
-    return ends.union(circles)
+        following = further.select("new", F.col("at").alias("_by")).join(reached.select(F.col("new").alias("_by"), "at", "_goes_on"), "_by")
+        reached = cut(reached.where("_goes_on is null").union(following.select("new", "at", "_goes_on")).distinct())
+    ends = reached.where("_goes_on is null").select("new", F.col("at").alias("origin"))
+    lost = renamed.select(F.col("at").alias("new")).join(ends, "new", "left_anti")
+    if not lost.isEmpty():
+        # all their old names are lost as well
+        lines = table.join(lost, "new").select("new", "old")
+        number = lambda c: F.shiftrightunsigned(F.xxhash64(c), 1)
+        circles = components(lines.select(number("new").alias("node"), number("old").alias("low")))
+        known = lines.select("new").union(lines.select("old")).distinct().select(F.col("new"), number("new").alias("node")).join(circles, "node")
+        ends = ends.union(known.join(known.groupBy("component").agg(F.min("new").alias("origin")), "component").select("new", "origin"))
+    return used.select("contig").join(ends.withColumnRenamed("new", "contig"), "contig").distinct()
 
 
 def ties(images: DataFrame, name_table: DataFrame) -> DataFrame:
@@ -61,20 +71,34 @@ def ties(images: DataFrame, name_table: DataFrame) -> DataFrame:
     return shared.join(least, "origin").select("node", "low").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: A node with more neighbours than this takes part in no shuffle with them; there are at most 2 / HUB_SHARE such nodes.
+HUB, HUB_SHARE = 50_000, 1e-5
+
+
+def _with_least(edges: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+    """edges (hi, lo) with the column m of least (hi, m, n); the m of nodes with more than `limit` edges is broadcast."""
+    hubs = least.where(F.col("n") > limit).select("hi", "m")
+    if hubs.isEmpty():
+        return edges.join(least.select("hi", "m"), "hi")
+    others = edges.join(F.broadcast(hubs.select("hi")), "hi", "left_anti").join(least.where(F.col("n") <= limit).select("hi", "m"), "hi")
+    return edges.join(F.broadcast(hubs), "hi").unionByName(others)
+
+
+def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """(node, component): connected components; component is the least node. Nodes without an edge are missing.
 
     Large-star and small-star steps in turn until nothing changes: every step ties each node to the
-    least of its neighbours, so hubs never meet in one task. Each round is written to the checkpoint folder.
+    least of its neighbours, which is counted before rows move. The edges of a node with very many
+    neighbours stay where they are and meet its least one there. Each round is written to the checkpoint folder.
     """
     now = cut(edges.select(F.greatest("node", "low").alias("hi"), F.least("node", "low").alias("lo")).where("hi <> lo").distinct())
-    state = None
+    state, limit = None, max(hub, int(now.count() * HUB_SHARE))
     while True:
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.least(F.min("lo"), F.min("hi")).alias("m"))
-        large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
-        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(lowest, "hi")
+        least = cut(both.groupBy("hi").agg(F.least(F.min("lo"), F.min("hi")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = cut(_with_least(both, least, limit).where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct())
+        lowest = cut(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n")))
+        joined = _with_least(large, lowest, limit)
         now = cut(
             joined.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
             .union(lowest.select("hi", F.col("m").alias("lo")))
@@ -89,16 +113,28 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def tied_pairs(groups: DataFrame, together: list[str]) -> DataFrame:
+    """(grp_a, grp_b), grp_a < grp_b: all pairs of groups (together, grp) that are together; no component is one task."""
+    groups = groups.select(*together, "grp").distinct()
+    pairs = paired(groups.withColumnRenamed("grp", "grp_a"), groups.withColumnRenamed("grp", "grp_b"), together)
+    return pairs.where("grp_a < grp_b").select("grp_a", "grp_b")
+
+
 def tied_groups(images: DataFrame, name_table: DataFrame) -> DataFrame:
     """(grp_a, grp_b), grp_a < grp_b: all pairs of groups that must land in one split."""
     found = components(ties(images, name_table)).where(F.col("node").bitwiseAND(F.lit(1).cast("long")) == 0)
-    groups = found.select("component", F.shiftright("node", 1).alias("grp"))
-    return (
-        groups.withColumnRenamed("grp", "grp_a")
-        .join(groups.withColumnRenamed("grp", "grp_b"), "component")
-        .where("grp_a < grp_b")
-        .select("grp_a", "grp_b")
-    )
+    return tied_pairs(found.select("component", F.shiftright("node", 1).alias("grp")), ["component"])
+
+
+def tied_components(images: DataFrame, name_table: DataFrame) -> DataFrame:
+    """(component, groups, lone_records, pairs): the components of several nodes, with the number of pairs of groups they make.
+
+    component is the least node (see node). No pair is listed.
+    """
+    found = components(ties(images, name_table))
+    is_group = F.col("node").bitwiseAND(F.lit(1).cast("long")) == 0
+    counted = found.groupBy("component").agg(F.count_if(is_group).alias("groups"), F.count_if(~is_group).alias("lone_records"))
+    return counted.withColumn("pairs", F.expr("groups * (groups - 1) div 2"))
 
 
 def differencing(vectors: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -233,7 +269,7 @@ def allocate(bins: list[tuple[int, float, float]], shares: list[tuple[str, float
 
 
 def grouped_splits(images: DataFrame, name_table: DataFrame, targets: DataFrame, bins: int = 64) -> DataFrame:
-    """(scheme, sample_id, y, component, split): new splits of all records for each scheme of targets.
+    """(scheme, sample_id, grp, y, component, split): new splits of all records for each scheme of targets.
 
     All records of a group, and of groups that go back to a common original contig, directly or by a
     chain of records, are one component and land in one split. Components are balanced into `bins` bins
@@ -248,7 +284,7 @@ def grouped_splits(images: DataFrame, name_table: DataFrame, targets: DataFrame,
     named = (
         records.withColumn("node", node(F.col("grp"), F.col("sample_id")))
         .join(labels, "node", "left")
-        .select("sample_id", "y", F.coalesce("component", "node").alias("component"))
+        .select("sample_id", "grp", "y", F.coalesce("component", "node").alias("component"))
     )
     named = cut(named)
     weights = named.groupBy("component").agg(
@@ -263,7 +299,17 @@ def grouped_splits(images: DataFrame, name_table: DataFrame, targets: DataFrame,
         wanted.setdefault(r.scheme, []).append((r.split, r.share))
     rows = [(scheme, int(b), s) for scheme, shares in wanted.items() for b, s in allocate(filled, shares).items()]
     where = images.sparkSession.createDataFrame(rows, "scheme string, bin int, split string")
-    return placed.join(F.broadcast(where), "bin").select("scheme", "sample_id", "y", "component", "split")
+    return placed.join(F.broadcast(where), "bin").select("scheme", "sample_id", "grp", "y", "component", "split")
+
+
+def placed_pairs(splits: DataFrame) -> DataFrame:
+    """(grp_a, grp_b), grp_a < grp_b: pairs of different groups of one component, as grouped_splits placed them.
+
+    A pair is given if both groups are in the same split of every scheme, which no other result of grouped_splits can be.
+    """
+    places = F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "scheme", "split"))), "|").alias("places")
+    groups = splits.where("grp is not null").groupBy("component", "grp").agg(places)
+    return tied_pairs(groups, ["component", "places"])
 
 
 def split_balance(images: DataFrame, name_table: DataFrame, targets: DataFrame, bins: int = 64) -> DataFrame:

@@ -11,15 +11,8 @@ t as (select distinct on (target_id) *, greatest(coalesce(min_rows, 0)::double,
 
 _LINKS = """(select distinct link_id, resolution, a, oa, b, ob, prob from prob_net where prob is not null and not isnan(prob))"""
 
-SQL = {
-    "p2_found": f"""with {_CATEGORIES}
-select target_id from t left join h using (y, grp_type, bin_size) where coalesce(have, 0) < want""",
-    "p4_found": f"""select link_id from {_LINKS}
-qualify row_number() over (partition by resolution, a, oa order by prob desc, link_id) <= 5""",
-    "p4_best_links": f"""select link_id, resolution, a, oa, b, ob, prob, row_number() over (partition by resolution, a, oa order by prob desc, link_id) as place
-from {_LINKS} qualify place <= 5""",
-    # names by plain renaming and a recursive walk, components by the least group reached
-    "p3_found": r"""with recursive nt as (
+#: names by plain renaming and a recursive walk, components by the least node reached
+_TIES = r"""with recursive nt as (
   select distinct lower(regexp_replace(new, '\s+', '', 'g')) as new, lower(regexp_replace(old, '\s+', '', 'g')) as old from name_table
   where new is not null and old is not null),
 n as (select coalesce(grp * 2, sample_id * 2 + 1) as node, lower(regexp_replace(name, '\s+', '', 'g')) as n from images where name is not null),
@@ -32,5 +25,18 @@ e as (select distinct a.node as a, b.node as b from o a join (select origin, min
 g as (select a, b from e union select b, a from e),
 reach as (select distinct a as node, a as far from g union select node, b from reach join g on far = a),
 k as (select node, min(far) as comp from reach group by node)
-select x.node // 2 as grp_a, y.node // 2 as grp_b from k x join k y using (comp) where x.node < y.node and x.node % 2 = 0 and y.node % 2 = 0""",
+"""
+
+SQL = {
+    "p2_found": f"""with {_CATEGORIES}
+select target_id from t left join h using (y, grp_type, bin_size) where coalesce(have, 0) < want""",
+    "p4_found": f"""select link_id from {_LINKS}
+qualify row_number() over (partition by resolution, a, oa order by prob desc, link_id) <= 5""",
+    "p4_best_links": f"""select link_id, resolution, a, oa, b, ob, prob, row_number() over (partition by resolution, a, oa order by prob desc, link_id) as place
+from {_LINKS} qualify place <= 5""",
+    "p3_found": _TIES
+    + "select x.node // 2 as grp_a, y.node // 2 as grp_b from k x join k y using (comp) where x.node < y.node and x.node % 2 = 0 and y.node % 2 = 0",
+    "p3_components": _TIES
+    + """select comp as component, count(*) filter (where node % 2 = 0) as groups, count(*) filter (where node % 2 = 1) as lone_records,
+  count(*) filter (where node % 2 = 0) * (count(*) filter (where node % 2 = 0) - 1) // 2 as pairs from k group by comp having count(*) > 1""",
 }

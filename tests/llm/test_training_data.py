@@ -257,7 +257,12 @@ def test_groups_tied_through_names(spark):
     for r in placed:
         by_root[root[r.sample_id]].add(r.split)
     assert all(len(s) == 1 for s in by_root.values())
+    again = splits.grouped_splits(images(spark, rows + rows[:5]), table, targets, bins=4)
+    assert {tuple(r) for r in splits.placed_pairs(again).collect()} == want
+    sizes = {r.component: r for r in splits.tied_components(images(spark, rows), table).collect()}
+    assert sum(r.pairs for r in sizes.values()) == len(want) and all(r.groups + r.lone_records > 1 for r in sizes.values())
     assert splits.tied_groups(images(spark, []), table).count() == 0
+    assert splits.tied_components(images(spark, []), table).count() == 0
     assert splits.grouped_splits(images(spark, []), table, targets, bins=4).count() == 0
 
 
@@ -268,6 +273,32 @@ def test_circular_names_end(spark):
     assert got == {("a", "a"), ("b", "a"), ("c", "d")}
 
 
+def test_long_chains_of_names(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(3000)] + [("n7", "side"), ("side", "other"), ("into", "x0")] + [(f"x{i}", f"x{(i + 1) % 300}") for i in range(300)]
+    used = spark.createDataFrame([("n0",), ("n8",), ("n2999",), ("x17",), ("into",), ("plain",)], "contig string")
+    got = {tuple(r) for r in splits.original_contigs(used, spark.createDataFrame(chain, "new string, old string")).collect()}
+    assert got == {("n0", "n3000"), ("n0", "other"), ("n8", "n3000"), ("n2999", "n3000"), ("x17", "into"), ("into", "into")}
+
+
+@pytest.mark.parametrize("hub", [1, 4, 10**6])
+def test_components_with_hubs(spark, hub):
+    rng = random.Random(7)
+    edges = [(5, i) for i in range(100, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(45)] + [(i, i + 1) for i in range(300, 340)] + [(120, 7), (9, 9)]
+    parent = {}
+
+    def find(a):
+        while parent.setdefault(a, a) != a:
+            a = parent[a]
+        return a
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    inside = {n for a, b in edges if a != b for n in (a, b)}
+    got = {r.node: r.component for r in splits.components(spark.createDataFrame(edges, "node long, low long"), hub).collect()}
+    assert got == {n: find(n) for n in inside}
+
+
 def test_differencing_keeps_all_and_balances():
     rng = np.random.default_rng(4)
     vectors = rng.integers(1, 1000, (30, 8, 2)).astype(float)
