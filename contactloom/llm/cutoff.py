@@ -133,48 +133,53 @@ def hidden_limits(sized: DataFrame, least: int = 3, share: float = 0.5, times: f
 
 
 def truncated(documents: DataFrame, most_limits: int = 100_000) -> DataFrame:
-    """(doc_id, source, ending, at_limit, limits, is_cut) of every document with a text.
-
-    First the lengths under all encodings expose the limits of each source, then the endings are
-    inspected: a text is cut if it ends open or in an unclosed table row. A text that ends with a list
-    entry is cut only if its length is at a limit of its source. A text at a limit that ends complete
-    is not cut: it just fits. Without any limit the endings alone show a broken transfer.
-
-    Null texts give no row (see truncation_rates), blank ones are complete. Repeated rows come out as
-    often as they come in. Null sources count as the source ''. Only whole texts are looked at.
+    """(doc_id, source, ending, at_limit, limits, strength, evidence, is_cut) of every document with a text.
+
+    First the lengths under all encodings expose the limits of each source; every text whose length is at
+    one is told apart, with the largest part of open texts among those of such a length as strength. Then
+    its ending is inspected: a text is cut if it ends open or in an unclosed table row, or, at a limit, with
+    a list entry, which by itself cannot be told from a shortened one. A text at a limit that
+    ends complete just fits and is not cut. Without any limit the ending alone shows a broken transfer.
+
+    evidence is limit where only the length tells of the cut, both where length and ending do, and ending
+    where only the ending does (null for a whole text). Null texts give no row (see truncation_rates),
+    blank ones are complete. Repeated rows come out as often as they come in. Null sources count as the
+    source ''. Only whole texts are looked at.
     """
     sized = measured(documents)
-    limits = cut(hidden_limits(sized).select("source", "measure", F.col("size").cast("int").alias("_limit")))
+    limits = cut(hidden_limits(sized).select("source", "measure", F.col("size").cast("int").alias("_limit"), (F.col("n_open") / F.col("n_texts")).alias("_open")))
     # a text belongs to a limit if one of its lengths is there or a little off it: an equi-join on nearby lengths
-    nearby = limits.select(
-        "source", "measure", "_limit", F.explode(F.sequence(F.col("_limit") - SLACK, F.col("_limit") + OVER)).alias("_size")
-    )
+    nearby = limits.select("source", "measure", "_limit", "_open", F.explode(F.sequence(F.col("_limit") - SLACK, F.col("_limit") + OVER)).alias("_size"))
     nearby = small(nearby, most_limits)
+    goes_on = F.col("ending").isin("open", "row")
     at = (
-        sized.where(F.col("ending").isin("open", "row", "entry"))
-        .select("doc_id", "source", "ending", F.posexplode("sizes").alias("_m", "_size"))
+        sized.select("doc_id", "source", "ending", F.posexplode("sizes").alias("_m", "_size"))
         .withColumn("measure", F.element_at(F.array(*map(F.lit, MEASURES)), F.col("_m") + 1))
         .join(nearby, ["source", "measure", "_size"])
-        .where((F.col("ending") != "entry") | (F.col("_size") == F.col("_limit")))
+        # what is cut inside a character is off the limit; an end that could be whole has to be at it
+        .where(goes_on | (F.col("_size") == F.col("_limit")))
         .groupBy("doc_id", "source")
-        .agg(F.array_sort(F.collect_set(F.concat_ws(" ", "measure", "_limit"))).alias("limits"))
+        .agg(F.array_sort(F.collect_set(F.concat_ws(" ", "measure", "_limit"))).alias("limits"), F.max("_open").alias("strength"))
     )
-    is_cut = F.col("ending").isin("open", "row") | ((F.col("ending") == "entry") & F.col("limits").isNotNull())
+    at_limit = F.col("limits").isNotNull()
+    evidence = F.when(goes_on & at_limit, "both").when(goes_on, "ending").when((F.col("ending") == "entry") & at_limit, "limit")
     return (
-        sized.select("doc_id", "source", "ending")
-        .join(at, ["doc_id", "source"], "left")
-        .select("doc_id", "source", "ending", F.col("limits").isNotNull().alias("at_limit"), "limits", is_cut.alias("is_cut"))
-    )
+        sized.select("doc_id", "source", "ending").join(at, ["doc_id", "source"], "left")
+        .select("doc_id", "source", "ending", at_limit.alias("at_limit"), "limits", "strength", evidence.alias("evidence"), evidence.isNotNull().alias("is_cut"))
+    )
 
 
 def truncation_rates(documents: DataFrame) -> DataFrame:
-    """(source, documents, cut, rate, at_limit): how often each source cuts; documents without a text count as whole."""
-    found = truncated(documents).groupBy("source").agg(
-        F.count_if("is_cut").alias("cut"), F.count_if(F.col("is_cut") & F.col("at_limit")).alias("at_limit")
-    )
+    """(source, documents, cut, rate, by_limit, by_ending, both, fitting): how often each source cuts, and by which evidence.
+
+    by_limit, by_ending and both add up to cut; fitting counts complete texts exactly at a limit. Documents
+    without a text count as whole.
+    """
+    counted = {"by_limit": F.col("evidence") == "limit", "by_ending": F.col("evidence") == "ending", "both": F.col("evidence") == "both",
+               "fitting": F.col("at_limit") & ~F.col("is_cut")}
+    found = truncated(documents).groupBy("source").agg(F.count_if("is_cut").alias("cut"), *(F.count_if(c).alias(k) for k, c in counted.items()))
     every = documents.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("documents"))
+    of = {k: F.coalesce(k, F.lit(0)).cast("long") for k in ("cut", *counted)}
     return every.join(found, "source", "left").select(
-        "source", "documents", F.coalesce("cut", F.lit(0)).cast("long").alias("cut"),
-        (F.coalesce("cut", F.lit(0)) / F.col("documents")).alias("rate"),
-        F.coalesce("at_limit", F.lit(0)).cast("long").alias("at_limit"),
-    )
+        "source", "documents", of["cut"].alias("cut"), (of["cut"] / F.col("documents")).alias("rate"), *(of[k].alias(k) for k in counted)
+    )

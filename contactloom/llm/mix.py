@@ -27,14 +27,14 @@ def full_budget(sized: DataFrame, targets: DataFrame) -> int:
 
 
 def fair_mix(
-    documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, rows_per_bucket: int = 50_000
+    documents: DataFrame, targets: DataFrame, budget: int | str | None = None, seed: int = 7, rows_per_bucket: int = 50_000
 ) -> DataFrame:
     """(doc_id, source, turn, tokens, finish): the documents of the mix, each as often as it is taken.
 
     Weighted fair queueing: the documents of a source queue in random order, once per turn up to
     max_repeats, and each has a virtual finish time: the tokens of its source up to its end, divided by
     the weight. Documents are taken by finish time until `budget` tokens are reached (default: see
-    full_budget). Sources that are exhausted leave their part to the others. The mix is the same in
+    full_budget; "all": as many as the wanted sources have, each counted once, so that sources run out). Sources that are exhausted leave their part to the others. The mix is the same in
     every run with the same seed.
 
     Null and empty texts have size 0 and are not taken, as they add nothing. Documents of sources that
@@ -55,7 +55,10 @@ def fair_mix(
     totals = sized.where("tokens > 0").groupBy("source").agg(F.sum("tokens").alias("_all"))
     per_source = small(totals.join(wanted, "source").select("source", "weight", "max_repeats", "_all"))
     # when the queue closes: the virtual time at which all sources together have budget tokens, at most
-    closes = closing_time([(r["weight"], r["_all"] * r["max_repeats"]) for r in per_source.collect()], budget)
+    queues = [(r["weight"], r["_all"] * r["max_repeats"], r["_all"]) for r in per_source.collect()]
+    if budget == "all":
+        budget = sum(once for _, _, once in queues)
+    closes = closing_time([(weight, most) for weight, most, _ in queues], budget)
     turns = (
         queued.join(per_source, "source")
         .withColumn("turn", F.explode(F.expr("sequence(1, max_repeats)")))
@@ -90,7 +93,7 @@ def closing_time(sources: list[tuple[float, int]], budget: int) -> float:
 
 
 def mix_shares(
-    documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 7, rows_per_bucket: int = 50_000
+    documents: DataFrame, targets: DataFrame, budget: int | str | None = None, seed: int = 7, rows_per_bucket: int = 50_000
 ) -> DataFrame:
     """One row per wanted source: its weight, what it has, what the mix took of it, and the share reached."""
     mix = fair_mix(documents, targets, budget, seed, rows_per_bucket)
@@ -102,6 +105,8 @@ def mix_shares(
     whole = Window.partitionBy(F.lit(1))
     return targets.select("source", "weight", "max_repeats").dropDuplicates(["source"]).join(taken, "source", "left").select(
         "source", "weight", "max_repeats",
+        # the part of the weights that were wanted
+        F.coalesce(F.try_divide(F.col("weight"), F.sum("weight").over(whole)), F.lit(0.0)).alias("wanted"),
         *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("documents", "rows", "tokens", "turns")),
         F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(whole)), F.lit(0.0)).alias("share"),
     )

@@ -58,6 +58,12 @@ def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
     return splits.grouped_splits(table(spark, sf, "images"), table(spark, sf, "name_table"), table(spark, sf, "split_targets")).drop("grp")
 
 
+def p3_placed(spark: SparkSession, sf: str) -> DataFrame:
+    """How many records of each component were placed, and in how many splits."""
+    placed = splits.grouped_splits(table(spark, sf, "images"), table(spark, sf, "name_table"), table(spark, sf, "split_targets"))
+    return placed.groupBy("scheme", "component").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("split").alias("splits"))
+
+
 def p3_balance(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_balance(table(spark, sf, "images"), table(spark, sf, "name_table"), table(spark, sf, "split_targets"))
 
@@ -84,10 +90,21 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix.mix_shares(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
 
+def p7_all_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares reached by a mix as large as all wanted sources together: small ones run out of their repeats."""
+    documents, targets = table(spark, sf, "documents"), table(spark, sf, "mix_targets")
+    return mix.mix_shares(documents, targets, budget="all")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return cutoff.truncated(table(spark, sf, "documents")).where("is_cut").select("doc_id")
 
 
+def p8_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """What each document found was found by."""
+    return cutoff.truncated(table(spark, sf, "documents")).where("is_cut").drop("is_cut")
+
+
 def p8_rates(spark: SparkSession, sf: str) -> DataFrame:
     return cutoff.truncation_rates(table(spark, sf, "documents"))
 
@@ -101,8 +118,8 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_overlaps, p1_records, p1_report, p2_found, p2_report, p2_sample, p3_found, p3_components, p3_splits, p3_balance, p4_found, p4_best_links,
-            p6_ids, p7_mix, p7_shares, p8_found, p8_rates, p8_limits,
+            p1_found, p1_overlaps, p1_records, p1_report, p2_found, p2_report, p2_sample, p3_found, p3_components, p3_splits, p3_placed, p3_balance, p4_found, p4_best_links,
+            p6_ids, p7_mix, p7_shares, p7_all_shares, p8_found, p8_evidence, p8_rates, p8_limits,
         )
     }
 

@@ -62,32 +62,25 @@ def proportional_sample(
     and only the interval where the sample ends is ordered.
     """
     seats = prioritised(images, targets, seed, rows_per_bucket).where(F.col("priority").isNotNull())
-    cells = seats.withColumn(
-        "_cell",
-        # minimum rows first: interval -1 cut by rank, so that it is bounded as well
-        F.when(F.col("rank") <= F.coalesce("min_rows", F.lit(0)), F.lit(-1).cast("long")).otherwise(
-            F.floor(F.col("priority") / rows_per_bucket).cast("long")
-        ),
-    )
+    is_minimum = F.col("rank") <= F.coalesce("min_rows", F.lit(0))
+    # minimum rows come first, as interval -1; they are all taken, so they need no order
+    cells = seats.withColumn("_cell", F.when(is_minimum, F.lit(-1).cast("long")).otherwise(F.floor(F.col("priority") / rows_per_bucket).cast("long")))
     before = before_buckets(cells, ["target_set"], "_cell", F.lit(1).cast("long"), "_before")
-    open_cells = cells.join(before, ["target_set", "_cell"]).where(
-        (F.col("_cell") < 0) | (F.col("_before") < F.col("sample_rows"))
-    )
+    columns = ["target_set", "target_id", "sample_id", "rank", "priority"]
+    open_cells = cells.where("_cell >= 0").join(before, ["target_set", "_cell"]).where(F.col("_before") < F.col("sample_rows"))
     inside = Window.partitionBy("target_set", "_cell").orderBy("priority", "target_id", "rank")
-    return (
-        open_cells.withColumn("_place", F.col("_before") + F.row_number().over(inside))
-        .where((F.col("_cell") < 0) | (F.col("_place") <= F.col("sample_rows")))
-        .select("target_set", "target_id", "sample_id", "rank", "priority")
-    )
+    chosen = open_cells.withColumn("_place", F.col("_before") + F.row_number().over(inside)).where(F.col("_place") <= F.col("sample_rows"))
+    return cells.where("_cell < 0").select(*columns).union(chosen.select(*columns))
 
 
 def sample_report(
     images: DataFrame, targets: DataFrame, seed: int = 7, rows_per_bucket: int = 50_000
 ) -> DataFrame:
-    """One row per target: how many records the category has, wants and got, and whether it falls short.
+    """One row per target: how many records the category has, wants and got, whether it falls short or is squeezed.
 
-    A category falls short if its ranks end before the larger of min_rows and share * sample_rows.
-    Categories without any record are reported with 0.
+    A category falls short if the sample has taken less than the larger of min_rows and share * sample_rows
+    from it and there are not as many records. It is squeezed if there are more records than taken, but the minima of
+    the others left it more than a seat below its share. Categories without any record are reported with 0.
     """
     ranks = prioritised(images, targets, seed, rows_per_bucket)
     have = ranks.groupBy("target_id").agg(F.max("rank").alias("have"))
@@ -101,11 +94,7 @@ def sample_report(
         targets.select(*TARGET).dropDuplicates(["target_id"])
         .join(have, "target_id", "left")
         .join(taken, "target_id", "left")
-        .select(
-            *TARGET,
-            F.coalesce("have", F.lit(0)).cast("long").alias("have"),
-            F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
-            want.alias("want"),
-            (F.coalesce("have", F.lit(0)) < want).alias("short"),
-        )
+        .select(*TARGET, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("have", "taken")), want.alias("want"))
+        .withColumn("short", (F.col("taken") < F.col("want")) & (F.col("have") < F.col("want")))
+        .withColumn("squeezed", (F.col("taken") < F.col("have")) & (F.col("taken") + 1 < F.col("want")))
     )

@@ -182,11 +182,11 @@ def token_ids(
     table gives no rows. Other columns, whatever their names, are neither read nor returned. No shuffle:
     each Arrow batch is encoded where it is read.
     """
-    path, pattern = (path, pattern) if path and pattern else vocabulary()
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = chunks(path, pattern)
+        # looked up where it is opened, as a worker may have it elsewhere
+        cache = chunks(*((path, pattern) if path and pattern else vocabulary()))
         for batch in batches:
             packed = [encode(x, cache) for x in batch.column(1).to_pylist()]
             ends = [0]
@@ -204,12 +204,11 @@ def token_ids(
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """The columns of keep and `tokens`, the number of ids of each text (0 for empty and null texts)."""
-    vocabulary_path, pattern = vocabulary()
-    path = path or vocabulary_path
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = chunks(path, pattern)
+        own, pattern = vocabulary()
+        cache = chunks(path or own, pattern)
         for batch in batches:
             sizes = pa.array([len(encode(x, cache)) // 4 for x in batch.column(len(keep)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], sizes], [*keep, "tokens"])

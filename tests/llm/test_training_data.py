@@ -207,6 +207,9 @@ def test_sample_shares_minimum_and_report(spark):
     # the divisor method by hand
     order = sorted((0.0 if k <= t[6] else (k - 0.5) / t[5], t[0], k) for t in targets for k in range(1, n[t[0]] + 1) if k <= t[6] or t[5] > 0)
     assert Counter(t for _, t, _ in order[:100]) == taken
+    # the minimum of the third leaves less to the others than their shares
+    assert {k for k, r in report.items() if r.squeezed} == {k for k, t in ((t[0], t) for t in targets) if taken[k] < n[k] and taken[k] + 1 < max(t[6], t[5] * t[7])}
+    assert {k for k, r in report.items() if r.short} == {t[0] for t in targets if n[t[0]] < max(t[6], t[5] * t[7])}
     again = sample.proportional_sample(df, want, rows_per_bucket=40).collect()
     assert {(r.target_id, r.sample_id) for r in got} == {(r.target_id, r.sample_id) for r in again}
     assert sample.proportional_sample(images(spark, []), want).count() == 0
@@ -369,6 +372,10 @@ def test_mix_meets_weights_and_caps(spark):
     budget = 3000
     capped = mix.fair_mix(df, targets, budget, rows_per_bucket=100).collect()
     assert budget - 60 < sum(r.tokens for r in capped) <= budget
+    scarce = spark.createDataFrame([("big", 0.2, 1), ("tiny", 0.8, 2)], "source string, weight double, max_repeats int")
+    whole = {r.source: r for r in mix.mix_shares(df, scarce, "all", rows_per_bucket=100).collect()}
+    assert whole["tiny"].turns == 2 and whole["tiny"].share < 0.7 < whole["tiny"].wanted and whole["big"].share > 0.3
+    assert abs(sum(r.wanted for r in whole.values()) - 1) < 1e-9
     everything = mix.fair_mix(df, targets, 10**9, rows_per_bucket=100).collect()
     sizes = Counter(s for _, s, t, _ in docs if t)
     assert Counter(r.source for r in everything) == {"big": sizes["big"], "mid": 2 * sizes["mid"], "tiny": 4 * sizes["tiny"]}
@@ -411,10 +418,35 @@ def test_limits_and_rates(spark):
     limits = {(r.source, r.measure, r.size) for r in cutoff.hidden_limits(cutoff.measured(df)).collect()}
     assert ("chars", "chars", 200) in limits and any(s == "bytes" and m == "bytes" and n in (149, 150) for s, m, n in limits)
     rates = {r.source: r for r in cutoff.truncation_rates(df).collect()}
-    assert rates["free"].cut == 0 and rates["chars"].cut == 41 and rates[""].documents == 4 and rates["bytes"].at_limit == rates["bytes"].cut
+    assert rates["free"].cut == 0 and rates["chars"].cut == 41 and rates[""].documents == 4 and rates["bytes"].both + rates["bytes"].by_limit == rates["bytes"].cut
+    assert all(r.by_limit + r.by_ending + r.both == r.cut for r in rates.values()) and rates["chars"].by_limit == 1 and rates["chars"].fitting == 1
+    evidence = {r.doc_id: (r.evidence, r.strength) for r in cutoff.truncated(df).where("is_cut").collect()}
+    assert evidence[601][0] == "limit" and all(e in ("both", "limit") and p >= 0.5 for e, p in evidence.values())
     assert cutoff.truncated(df.limit(0)).count() == 0 and cutoff.truncation_rates(df.limit(0)).count() == 0
 
 
+def test_limits_of_a_store_with_other_markup(spark):
+    """Pages of another markup, cut by a store that limits escaped text: held out, none of it was looked at for the rules."""
+    rng = random.Random(4)
+    words = ["field", "R&D", "\"quoted\"", "value", "<b>bold</b>", "naïve", "año", "result", "of", "the"]
+    page = lambda: "<p>" + " ".join(rng.choice(words) for _ in range(rng.randint(40, 140))) + ".</p>"
+    escaped = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    rows, cut = [], set()
+    for i in range(400):
+        text = page()
+        if len(escaped(text)) > 500:
+            while len(escaped(text)) > 500:
+                text = text[:-1]
+            cut.add(i)
+        rows.append((i, "store", text))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.evidence for r in cutoff.truncated(df).where("is_cut").collect()}
+    limits = {(r.measure, r.size) for r in cutoff.hidden_limits(cutoff.measured(df)).collect()}
+    assert any(m == "chars_entities" and 490 < n <= 500 for m, n in limits)
+    assert len(set(got) & cut) >= 0.9 * len(cut) and len(set(got) - cut) <= 0.02 * len(rows)
+    assert sum(e == "both" for e in got.values()) >= 0.6 * len(got)
+
+
 def test_lengths(spark):
     text = 'a&b <c> "d" \'e\'\r\nf\n\té😀\x01'
     got = dict(zip(cutoff.MEASURES, spark.createDataFrame([(text,)], "t string").select(cutoff.lengths(F.col("t"))).first()[0]))
