@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactloom.session import cut
+
 CELL = ["resolution", "chrom1", "bin1", "chrom2", "bin2"]
 
 
@@ -105,19 +107,20 @@ def diagonal_quantile(cells: DataFrame, chrom_sizes: DataFrame, half: int = 10,
     """(resolution, quantile): the q-quantile of all entries at most `half` off the diagonals of all contigs.
 
     Zeros count, and off-diagonal entries count on both sides. With n bins (rounded up) a contig has
-    n + 2 * sum of max(n - k, 0) for k = 1..half such entries; what has no cell is 0.
+    n + 2 * sum of max(n - k, 0) for k = 1..half such entries; what has no cell is 0. Resolutions
+    without any cell near a diagonal are missing.
     """
-    counted = (
+    # one row per resolution and count; read three times below
+    counted = cut(
         band(cells, half)
         .groupBy("resolution", F.col("cnt").cast("double").alias("v"))
         .agg(F.sum(F.when(F.col("bin1") == F.col("bin2"), 1).otherwise(2)).alias("n"))
     )
-    resolutions = cells.select("resolution").distinct()
     n = F.expr("cast((length + resolution - 1) div resolution as bigint)")
     entries = F.col("n") + 2 * (F.least(F.col("n") - 1, F.lit(half)) * F.col("n") - F.expr(f"least(n - 1, {half}) * (least(n - 1, {half}) + 1) div 2"))
-    # a matrix has a handful of resolutions
-    listed = F.array(*(F.lit(r.resolution) for r in resolutions.collect())).cast("array<int>")
-    every = sizes(chrom_sizes).select("length", F.explode(listed).alias("resolution"))
+    # a matrix has a handful of resolutions, so those that have cells near the diagonal come as one row
+    listed = counted.agg(F.collect_set("resolution").alias("_r"))
+    every = sizes(chrom_sizes).select("length").crossJoin(F.broadcast(listed)).select("length", F.explode("_r").alias("resolution"))
     total = every.withColumn("n", n).where("n > 0").groupBy("resolution").agg(F.sum(entries).alias("all"))
     seen = counted.groupBy("resolution").agg(F.sum("n").alias("seen"))
     zeros = total.join(seen, "resolution", "left").select(
@@ -182,9 +185,10 @@ def hotspots(cells: DataFrame, block: int = 1000, size: int = 100, stride: int =
     return windows.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
 
 
-def rescaled(bins: Column, from_resolution: int, to_resolution: int) -> Column:
+def rescaled(bins: Column, from_resolution: Column | int, to_resolution: int) -> Column:
     """A bin of one resolution as the bin of another that holds its start."""
-    return F.floor(bins * F.lit(from_resolution) / F.lit(to_resolution)).cast("long")
+    start = bins.cast("long") * (F.lit(from_resolution) if isinstance(from_resolution, int) else from_resolution)
+    return F.floor(start / F.lit(to_resolution)).cast("long")
 
 
 def contigs(cells: DataFrame) -> DataFrame:

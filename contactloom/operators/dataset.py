@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.functions import names
-from contactloom.operators.ranking import with_rank
+from contactloom.operators.ranking import shuffled
 
 PADDING = -1
 
@@ -133,23 +133,63 @@ def equalised(images: DataFrame, cap: int, bins: int = 100, seed: int | None = 7
     return binned.withColumn("_n", place).where(F.col("_n") <= cap).drop("_n")
 
 
-def group_split(images: DataFrame, val: float = 0.05, test: float = 0.05, width: int = 50_000) -> DataFrame:
-    """(grp, y, split): groups of each label in order of their number; the first part test, the next val, the rest train."""
+def group_split(images: DataFrame, val: float = 0.05, test: float = 0.05, seed: int = 42) -> DataFrame:
+    """(grp, y, split): the groups of each label, shuffled by the seed, in val, test and train.
+
+    Of n groups ceil((val + test) * n) are held out, and of these the part val / (val + test), rounded up, is
+    val. A group has its greatest label. Groups are told apart by their number, so a group lies in one split.
+    """
     groups = images.where("grp is not null and y is not null").groupBy("grp").agg(F.max("y").alias("y"))
-    ranked = with_rank(groups.withColumn("_b", F.expr(f"grp div {width}")), ["y"], "_b", [F.col("grp")])
     sizes = groups.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))
-    at = F.col("rank") - 1
-    return ranked.join(sizes, "y").select(
-        "grp", "y",
-        F.when(at < F.floor(F.col("_n") * test), "test").when(at < F.floor(F.col("_n") * test) + F.floor(F.col("_n") * val), "val")
-        .otherwise("train").alias("split"),
-    )
+    shuffled_groups = shuffled(groups, ["y"], "grp", groups.count(), seed)
+    held = F.ceil(F.col("_n") * F.lit(float(val + test)))
+    first = F.ceil(held * F.lit(val / (val + test) if val + test else 0.0))
+    return shuffled_groups.join(sizes, "y").select(
+        "grp", "y", F.when(F.col("rank") <= first, "val").when(F.col("rank") <= held, "test").otherwise("train").alias("split")
+    )
+
+
+def group_split_legacy(images: DataFrame, val: float | None = None, test: float | None = None, seed: int = 42) -> DataFrame:
+    """(grp, split): of all n groups, shuffled by the seed, the first int(test * n) + 1 are test, the next int(val * n) + 1 val; None gives none."""
+    groups = images.where("grp is not null").select("grp").distinct().withColumn("_all", F.lit(1))
+    n = groups.count()
+    in_test = int(test * n) + 1 if test is not None else 0
+    in_val = int(val * n) + 1 if val is not None else 0
+    rank = F.col("rank")
+    split = F.when(rank <= in_test, "test").when(rank <= in_test + in_val, "val").otherwise("train")
+    return shuffled(groups, ["_all"], "grp", n, seed).select("grp", split.alias("split"))
+
+
+def drawn(images: DataFrame, n: int = 9, seed: int = 42) -> DataFrame:
+    """n records at random, without replacement; the same in every run. The n are the operator's parameter, not a limit of its own.
+
+    Records are told apart by sample_id; the order is that of the MD5 of seed:sample_id, of which each task keeps n.
+    """
+    return images.dropDuplicates(["sample_id"]).withColumn("_md5", F.md5(F.concat_ws(":", F.lit(seed), F.col("sample_id").cast("string")))).orderBy("_md5", "sample_id").limit(n).drop("_md5")
+
+
+def misclassified(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Rows (y, prob) whose label is not that of prob >= threshold; rows without either are left out."""
+    return scored.where(F.col("y").isin(0, 1) & F.col("prob").isNotNull() & ~F.isnan("prob") & ((F.col("prob") >= threshold).cast("int") != F.col("y")))
+
+
+def negatives(images: DataFrame) -> DataFrame:
+    """Images with a breakpoint in view: y = 0."""
+    return images.where("y = 0")
+
+
+def quantile_markers(values: DataFrame, value: str, quantiles: tuple[float, ...] = (0.2, 0.4, 0.5, 0.6, 0.8)) -> DataFrame:
+    """(quantile, marker): where a histogram is marked; exact, from counts by value."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.agg(F.percentile("v", F.array(*map(F.lit, quantiles)), F.col("n")).alias("_m"))
+    return found.select(F.posexplode("_m").alias("_i", "marker")).select(F.element_at(F.array(*map(F.lit, quantiles)), F.col("_i") + 1).alias("quantile"), "marker")
 
 
-def shared_between_splits(images: DataFrame, column: str) -> DataFrame:
+def shared_between_splits(images: DataFrame, column: str | Column) -> DataFrame:
     """(value, splits): values of a column that occur in more than one split; empty if splits are disjoint."""
-    rows = images.where(F.col(column).isNotNull() & F.col("split").isNotNull())
-    return rows.groupBy(F.col(column).alias("value")).agg(F.count_distinct("split").alias("splits")).where("splits > 1")
+    value = F.col(column) if isinstance(column, str) else column
+    rows = images.where("split is not null").select(value.alias("value"), "split").where("value is not null")
+    return rows.groupBy("value").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
 
 
 def cropped(images: DataFrame, side: int, to: int) -> DataFrame:
@@ -181,9 +221,9 @@ def minmax(x: Column, top: Column) -> Column:
 
 
 def standardised(x: Column, mean: Column, std: Column, least: Column, greatest: Column) -> Column:
-    """log1p, then (v - mean) / std, then to [0, 1] by the least and greatest z-score; 0 where std or the range is 0."""
+    """log1p, then (v - mean) / std, then to [0, 1] by the least and greatest z-score; padding stays -1; 0 where std or the range is 0."""
     z = lambda v: F.try_divide(F.log1p(v.cast("double")) - mean, std)
-    return F.transform(x, lambda v: F.coalesce(F.try_divide(z(v) - least, greatest - least), F.lit(0.0)))
+    return F.transform(x, lambda v: F.when(v == PADDING, F.lit(-1.0)).otherwise(F.coalesce(F.try_divide(z(v) - least, greatest - least), F.lit(0.0))))
 
 
 def class_balance(images: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from contactloom.functions import names
 from contactloom.functions.images import both_mirrors, dense, sorted_cells
 from contactloom.operators import contacts
+from contactloom.operators.pairing import paired
 from contactloom.operators.ranking import spread
+from contactloom.session import cut
 
 
 def parsed_fragments(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -73,81 +75,147 @@ def touching_pairs(cells: DataFrame) -> DataFrame:
     )
 
 
-def _near_ends(bins: str, size: Column, half: int) -> Column:
-    """The sides (0 start, 1 end) within `half` bins of which a bin lies, with its distance from the end."""
-    n = F.least(size, F.lit(half))
-    side = lambda s, d: F.when((d >= 0) & (d < n), F.struct(F.lit(s).alias("side"), d.cast("int").alias("d")))
-    return F.array_compact(F.array(side(0, F.col(bins).cast("long")), side(1, size - 1 - F.col(bins))))
+PAIR = ["resolution", "piece1", "side1", "piece2", "side2"]
 
 
-def end_pair_cells(cells: DataFrame, chrom_sizes: DataFrame, half: int = 10) -> DataFrame:
-    """(resolution, chrom1, side1, chrom2, side2, r, c, cnt): cells of the images of all pairs of contig ends that touch.
+def touching_pieces(cells: DataFrame, steps: int) -> DataFrame:
+    """(resolution, chrom1, a0, chrom2, b0, contacts): pairs of different pieces of `steps` bins that have contacts and are not neighbours.
 
-    With d the distance of a bin from its end, the first contig has index S - 1 - d and the second
-    S + d, so the contacts between both fill one block (r < S <= c) and those within each contig the
-    two blocks on the diagonal. Mirror cells are not repeated (r <= c). A pair is listed for the sides
-    between which there is a contact; the smaller name comes first, the other order is this image turned
-    by 180 degrees. Contigs without a length are left out.
+    a0 and b0 are the first bins of the pieces; pieces of one contig that follow each other are left out.
+    Pairs without contacts are not listed, as their number grows with the square of the lengths.
     """
-    size = contacts.sizes(chrom_sizes)
-    one = size.select(F.col("chrom").alias("chrom1"), F.col("length").alias("_l1"))
-    two = size.select(F.col("chrom").alias("chrom2"), F.col("length").alias("_l2"))
-    n1, n2 = F.expr("_l1 div resolution"), F.expr("_l2 div resolution")
-    pair = ["resolution", "chrom1", "side1", "chrom2", "side2"]
-    between = (
-        cells.where((F.col("chrom1") != F.col("chrom2")) & (F.col("cnt") > 0)).join(one, "chrom1").join(two, "chrom2")
-        .withColumn("_e1", F.explode(_near_ends("bin1", n1, half))).withColumn("_e2", F.explode(_near_ends("bin2", n2, half)))
-        .select(
-            "resolution", "chrom1", F.col("_e1.side").alias("side1"), "chrom2", F.col("_e2.side").alias("side2"),
-            (F.lit(half - 1) - F.col("_e1.d")).alias("r"), (F.lit(half) + F.col("_e2.d")).alias("c"), "cnt",
-        )
-    )
-    pairs = between.select(*pair).distinct()
-    # cells within a contig near one of its ends; an end has at most S * S of them
-    within = (
-        contacts.band(cells, half - 1).where("cnt > 0").join(one, "chrom1")
-        .withColumn("_a", F.explode(_near_ends("bin1", n1, half))).withColumn("_b", F.explode(_near_ends("bin2", n1, half)))
-        .where("_a.side = _b.side")
-        .select("resolution", F.col("chrom1").alias("chrom"), F.col("_a.side").alias("side"),
-                F.least("_a.d", "_b.d").alias("d0"), F.greatest("_a.d", "_b.d").alias("d1"), "cnt")
+    first = lambda c: (F.floor(F.col(c) / steps) * steps).cast("long")
+    sums = cells.where("cnt > 0").groupBy("resolution", "chrom1", first("bin1").alias("a0"), "chrom2", first("bin2").alias("b0")).agg(F.sum("cnt").alias("contacts"))
+    same = F.col("chrom1") == F.col("chrom2")
+    alone = same & (F.col("a0") == F.col("b0"))
+    return sums.where(~alone & ~contiguous(F.col("a0"), F.col("a0") + steps, F.col("b0"), F.col("b0") + steps, same))
+
+
+def noncontiguous_ranges(chrom_sizes: DataFrame, resolution: int, steps: int) -> DataFrame:
+    """(chrom, a0, b_first, b_last, pairs): of each piece (see sub_positions) the pieces further on that do not touch it, as a range.
+
+    They begin at b_first, b_first + steps, ... b_last: the pairs of noncontiguous_pairs, as one row per piece.
+    """
+    whole = contacts.sizes(chrom_sizes).select("chrom", (F.expr(f"length div {resolution}") - steps).alias("_end"))
+    first = spread(whole, F.lit(0), F.col("_end") - 2 * steps, steps, "a0")
+    last = F.expr(f"_end div {steps} * {steps}")
+    return first.select("chrom", "a0", (F.col("a0") + 2 * steps).alias("b_first"), last.alias("b_last")).withColumn(
+        "pairs", F.expr(f"(b_last - b_first) div {steps} + 1")
+    )
+
+
+def whole_pieces(chrom_sizes: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """(resolution, piece, chrom, bin0, bin1): each contig as a piece of its own, at all resolutions of a table."""
+    every = contacts.sizes(chrom_sizes).crossJoin(F.broadcast(resolutions.select("resolution").distinct()))
+    return every.select("resolution", F.col("chrom").alias("piece"), "chrom", F.lit(0).cast("long").alias("bin0"), F.expr("length div resolution").alias("bin1"))
+
+
+def fragment_pieces(fragments: DataFrame, chrom_sizes: DataFrame, resolutions: DataFrame, least_bins: int = 4) -> DataFrame:
+    """(resolution, piece, chrom, bin0, bin1): fragments (chrom, start, end) in bp, and contigs that no fragment mentions.
+
+    A piece is called chrom:start-end, in bp as given, or chrom:0-length for a whole contig; its bins
+    are those of each resolution. Pieces of fewer than least_bins bins are left out at that resolution.
+    """
+    given = fragments.dropna(subset=["chrom", "start", "end"]).select("chrom", "start", "end").distinct()
+    unseen = contacts.sizes(chrom_sizes).join(given.select("chrom").distinct(), "chrom", "left_anti")
+    every = given.union(unseen.select("chrom", F.lit(0).cast("long").alias("start"), F.col("length").alias("end")))
+    at = every.crossJoin(F.broadcast(resolutions.select("resolution").distinct()))
+    binned = at.withColumns({"bin0": F.expr("start div resolution"), "bin1": F.expr("end div resolution"), "piece": F.format_string("%s:%d-%d", "chrom", "start", "end")})
+    return binned.where(F.col("bin1") - F.col("bin0") >= least_bins).select("resolution", "piece", "chrom", "bin0", "bin1")
+
+
+def named_pieces(lines: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Adds name to pieces in bins (chrom, bin0, bin1, resolution, length): the line chrom:start-end that has these bins, else one made of them.
+
+    A made name ends with the contig's length where the piece ends with its last whole bin.
+    """
+    part = names.fragment(F.col("line"))
+    known = lines.select(part.alias("_f"), "line").where("_f is not null").select("_f.*", "line")
+    at = known.join(F.broadcast(pieces.select("resolution").distinct())).select(
+        "resolution", "chrom", F.expr("start div resolution").alias("bin0"), F.expr("end div resolution").alias("bin1"), "line"
+    ).groupBy("resolution", "chrom", "bin0", "bin1").agg(F.min("line").alias("_line"))
+    end = F.when(F.expr("length div resolution") == F.col("bin1"), F.col("length")).otherwise(F.col("bin1") * F.col("resolution"))
+    made = F.format_string("%s:%d-%d", "chrom", F.col("bin0") * F.col("resolution"), end.cast("long"))
+    return pieces.join(at, ["resolution", "chrom", "bin0", "bin1"], "left").withColumn("name", F.coalesce("_line", made)).drop("_line")
+
+
+def end_bins(pieces: DataFrame, half: int = 10) -> DataFrame:
+    """(resolution, chrom, bin, piece, side, d): the bins at most `half` from an end of each piece; side 0 is the start, 1 the end."""
+    size = F.least(F.col("bin1") - F.col("bin0"), F.lit(half))
+    near = pieces.where("bin1 > bin0").withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
+    sides = F.array(*(F.struct(F.lit(k).alias("side"), b.alias("bin")) for k, b in ((0, F.col("bin0") + F.col("d")), (1, F.col("bin1") - 1 - F.col("d")))))
+    return near.withColumn("_s", F.explode(sides)).select("resolution", "chrom", "_s.bin", "piece", "_s.side", F.col("d").cast("int").alias("d"))
+
+
+def piece_pair_cells(cells: DataFrame, pieces: DataFrame, half: int = 10, least: int = 1) -> DataFrame:
+    """(resolution, piece1, side1, piece2, side2, r, c, cnt): cells of the images of all pairs of ends of pieces that touch.
+
+    pieces is (resolution, piece, chrom, bin0, bin1), bin1 excluded; pieces of one contig must not overlap.
+    With d the distance of a bin from its end, the first piece has index S - 1 - d and the second S + d, so
+    the contacts between both fill one block (r < S <= c) and those within each piece the two blocks on
+    the diagonal. Mirror cells are not repeated (r <= c). A pair is listed for the sides between which
+    there are at least `least` contacts; the smaller name comes first, the other order is this image
+    turned by 180 degrees. Pairs without contacts are not listed.
+
+    Cells meet the ends by their bins, twice; no contig, piece or end comes together in one task.
+    """
+    near = end_bins(pieces, half)
+    side = lambda k: near.select("resolution", *(F.col(c).alias(f"{c}{k}") for c in ("chrom", "bin", "piece", "side", "d")))
+    at = (
+        cells.where("cnt > 0").withColumns({"bin1": F.col("bin1").cast("long"), "bin2": F.col("bin2").cast("long")})
+        .join(side(1), ["resolution", "chrom1", "bin1"]).join(side(2), ["resolution", "chrom2", "bin2"])
     )
-    first = pairs.join(
-        within.select("resolution", F.col("chrom").alias("chrom1"), F.col("side").alias("side1"),
-                      (F.lit(half - 1) - F.col("d1")).alias("r"), (F.lit(half - 1) - F.col("d0")).alias("c"), "cnt"),
-        ["resolution", "chrom1", "side1"],
-    ).select(*pair, "r", "c", "cnt")
-    second = pairs.join(
-        within.select("resolution", F.col("chrom").alias("chrom2"), F.col("side").alias("side2"),
-                      (F.lit(half) + F.col("d0")).alias("r"), (F.lit(half) + F.col("d1")).alias("c"), "cnt"),
-        ["resolution", "chrom2", "side2"],
-    ).select(*pair, "r", "c", "cnt")
-    return between.union(first).union(second)
-
-
-def end_pair_images(pair_cells: DataFrame, chrom_sizes: DataFrame, half: int = 10) -> DataFrame:
-    """(resolution, chrom1, side1, chrom2, side2, name, x): dense images of end_pair_cells.
-
-    Cells beyond a contig shorter than S bins are -1, other missing cells 0. name is A:0-n:sideA|B:0-n:sideB.
+    # four parts of the result follow from these cells
+    at = cut(at.select("resolution", "piece1", "side1", "d1", "piece2", "side2", "d2", "cnt"))
+    turned = F.col("piece1") > F.col("piece2")
+    ordered = lambda c: (F.when(turned, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(f"{c}1"), F.when(turned, F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(f"{c}2"))
+    between = at.where("piece1 <> piece2").select("resolution", *ordered("piece"), *ordered("side"), *ordered("d"), "cnt")
+    pairs = between.groupBy(*PAIR).agg(F.sum("cnt").alias("_n")).where(F.col("_n") >= least).select(*PAIR)
+    if least > 1:
+        between = between.join(pairs, PAIR, "left_semi")
+    # cells within a piece near one of its ends; an end has at most S * S of them
+    within = at.where("piece1 = piece2 and side1 = side2").select(
+        "resolution", F.col("piece1").alias("piece"), F.col("side1").alias("side"), F.least("d1", "d2").alias("d0"), F.greatest("d1", "d2").alias("d1"), "cnt"
+    )
+
+    def own(k: int, r: Column, c: Column) -> DataFrame:
+        cells_of = within.select("resolution", F.col("piece").alias(f"piece{k}"), F.col("side").alias(f"side{k}"), r.alias("r"), c.alias("c"), "cnt")
+        return paired(pairs, cells_of, ["resolution", f"piece{k}", f"side{k}"]).select(*PAIR, "r", "c", "cnt")
+
+    first = own(1, F.lit(half - 1) - F.col("d1"), F.lit(half - 1) - F.col("d0"))
+    second = own(2, F.lit(half) + F.col("d0"), F.lit(half) + F.col("d1"))
+    across = between.select(*PAIR, (F.lit(half - 1) - F.col("d1")).alias("r"), (F.lit(half) + F.col("d2")).alias("c"), "cnt")
+    return across.union(first).union(second)
+
+
+def end_pair_cells(cells: DataFrame, chrom_sizes: DataFrame, half: int = 10) -> DataFrame:
+    """(resolution, chrom1, side1, chrom2, side2, r, c, cnt): piece_pair_cells of whole contigs; those without a length are left out."""
+    made = piece_pair_cells(cells, whole_pieces(chrom_sizes, cells), half)
+    return made.withColumnsRenamed({"piece1": "chrom1", "piece2": "chrom2"})
+
+
+def piece_pair_images(pair_cells: DataFrame, pieces: DataFrame, half: int = 10) -> DataFrame:
+    """(resolution, piece1, side1, piece2, side2, name, x): dense images of piece_pair_cells.
+
+    Cells beyond a piece shorter than S bins are -1, other missing cells 0. name is piece1:side1|piece2:side2.
     """
     side = 2 * half
-    size = contacts.sizes(chrom_sizes)
-    pair = ["resolution", "chrom1", "side1", "chrom2", "side2"]
-    whole = pair_cells.select(*pair, F.explode(both_mirrors("r", "c")).alias("_at"), "cnt").select(*pair, "_at.r", "_at.c", "cnt")
-    made = (
-        whole.groupBy(*pair).agg(sorted_cells(F.col("r") * side + F.col("c"), F.col("cnt")).alias("_cells"))
-        .join(size.select(F.col("chrom").alias("chrom1"), F.col("length").alias("_l1")), "chrom1")
-        .join(size.select(F.col("chrom").alias("chrom2"), F.col("length").alias("_l2")), "chrom2")
-        .withColumns({"_n1": F.expr("_l1 div resolution"), "_n2": F.expr("_l2 div resolution")})
-    )
-    beyond = lambda k: F.when(k < half, half - 1 - k >= F.col("_n1")).otherwise(k - half >= F.col("_n2"))
+    whole = pair_cells.select(*PAIR, F.explode(both_mirrors("r", "c")).alias("_at"), "cnt").select(*PAIR, "_at.r", "_at.c", "cnt")
+    made = whole.groupBy(*PAIR).agg(sorted_cells(F.col("r") * side + F.col("c"), F.col("cnt")).alias("_cells"))
+    # only pieces shorter than an image have padding
+    short = pieces.where(F.col("bin1") - F.col("bin0") < half).select("resolution", "piece", (F.col("bin1") - F.col("bin0")).alias("_n"))
+    for k in (1, 2):
+        made = made.join(short.withColumnsRenamed({"piece": f"piece{k}", "_n": f"_n{k}"}), ["resolution", f"piece{k}"], "left")
+    n1, n2 = F.coalesce("_n1", F.lit(half)), F.coalesce("_n2", F.lit(half))
+    beyond = lambda k: F.when(k < half, half - 1 - k >= n1).otherwise(k - half >= n2)
 
     def cell(value: Column, i: Column) -> Column:
         return F.when(beyond(F.floor(i / side)) | beyond(i % side), F.lit(-1).cast("long")).otherwise(value)
 
-    end = lambda k: F.format_string("%s:0-%d:%d", f"chrom{k}", f"_l{k}", f"side{k}")
-    return made.select(
-        *pair, F.concat_ws("|", end(1), end(2)).alias("name"), F.transform(dense("_cells", side * side), cell).alias("x")
-    )
+    x = dense("_cells", side * side)
+    x = F.when(F.col("_n1").isNull() & F.col("_n2").isNull(), x).otherwise(F.transform(x, cell))
+    end = lambda k: F.concat_ws(":", f"piece{k}", f"side{k}")
+    return made.select(*PAIR, F.concat_ws("|", end(1), end(2)).alias("name"), x.alias("x"))
 
 
 def tiled(cells: DataFrame, regions: DataFrame) -> DataFrame:

@@ -9,13 +9,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactloom.operators.ranking import with_running
 from contactloom.session import cut
 
-CELLS = 4096
+#: Cells that probabilities are dealt to; each is ordered by itself.
+CELLS = 256
 
 
 def usable(scored: DataFrame) -> DataFrame:
@@ -47,17 +47,36 @@ def scores(table: DataFrame) -> DataFrame:
     )
 
 
+def _placed(counts: DataFrame, value: str, cells: int = CELLS) -> DataFrame:
+    """Adds _cell: cells of value that hold about as many rows of counts each, in order of value.
+
+    Their limits are quantiles, so values that crowd at one place are spread over many cells.
+    """
+    limits = counts.agg(F.percentile_approx(F.col(value).cast("double"), [k / cells for k in range(1, cells)], 20 * cells).alias("_q"))
+    # one row with as many limits as cells
+    placed = counts.crossJoin(F.broadcast(limits))
+    below = F.array_size(F.filter("_q", lambda q: q < F.col(value).cast("double")))
+    return placed.withColumn("_cell", F.coalesce(below, F.lit(0)).cast("long")).drop("_q")
+
+
+def _running(placed: DataFrame, value: str, sums: dict[str, str]) -> DataFrame:
+    """Adds for each entry (name: column) the running total of the column in order of value, own row included; one window for all."""
+    per_cell = placed.groupBy("_cell").agg(*(F.sum(c).alias(c) for c in sums.values()))
+    # as many rows as cells
+    lower = Window.partitionBy(F.lit(1)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_cell.select("_cell", *(F.coalesce(F.sum(c).over(lower), F.lit(0)).alias(f"_before{c}") for c in sums.values()))
+    inside = Window.partitionBy("_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.join(F.broadcast(before), "_cell").withColumns({name: F.col(f"_before{c}") + F.sum(c).over(inside) for name, c in sums.items()})
+
+
 def curve(scored: DataFrame) -> DataFrame:
     """(prob, tp, fp, p, n): of each different probability, how many of both labels are at least as probable, and all of both."""
     counts = usable(scored).groupBy("prob").agg(F.count_if(F.col("y") == 1).alias("_p"), F.count_if(F.col("y") == 0).alias("_n"))
     # read several times below; one row per probability is all that is kept
-    counts = cut(counts)
-    placed = counts.withColumns({"_all": F.lit(1), "_cell": F.floor((1 - F.col("prob")) * CELLS).cast("long")})
-    order = [F.desc("prob")]
-    tp = with_running(placed, ["_all"], "_cell", order, F.col("_p"), "tp")
-    both = with_running(tp, ["_all"], "_cell", order, F.col("_n"), "fp")
-    totals = counts.agg(F.sum("_p").alias("p"), F.sum("_n").alias("n")).withColumn("_all", F.lit(1))
-    return both.join(F.broadcast(totals), "_all").select("prob", "tp", "fp", "p", "n", "_p", "_n")
+    counts = cut(counts.withColumn("_less", -F.col("prob")))
+    running = _running(_placed(counts, "_less"), "_less", {"tp": "_p", "fp": "_n"})
+    totals = counts.agg(F.sum("_p").alias("p"), F.sum("_n").alias("n"))
+    return running.crossJoin(F.broadcast(totals)).select("prob", "tp", "fp", "p", "n", "_p", "_n")
 
 
 def curve_points(scored: DataFrame) -> DataFrame:
@@ -71,9 +90,10 @@ def roc_auc(scored: DataFrame) -> DataFrame:
     """(auc, u): area under the ROC curve, ties counting half, and the Mann-Whitney U of the positives."""
     points = curve(scored)
     # a positive beats the negatives below its probability and half of those with the same
-    won = F.col("_p") * (F.col("n") - F.col("fp")) + F.col("_p") * F.col("_n") / 2
+    p = F.col("_p").cast("double")
+    won = p * (F.col("n") - F.col("fp")) + p * F.col("_n") / 2
     return points.agg(F.sum(won.cast("double")).alias("u"), F.max("p").alias("p"), F.max("n").alias("n")).select(
-        F.try_divide("u", F.col("p") * F.col("n")).alias("auc"), "u"
+        F.try_divide("u", F.col("p").cast("double") * F.col("n")).alias("auc"), "u"
     )
 
 
@@ -83,19 +103,17 @@ def average_precision(scored: DataFrame) -> DataFrame:
 
 
 def mann_whitney(values: DataFrame, group: str, value: str, greater: str, than: str) -> DataFrame:
-    """(u, p_value): whether values of one group are greater; normal approximation with tie correction."""
+    """(u, z, p_value): whether values of one group are greater; normal approximation with tie correction."""
     rows = values.where(F.col(group).isin(greater, than) & F.col(value).isNotNull())
     counts = rows.groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == greater).alias("a"), F.count_if(F.col(group) == than).alias("b"))
     counts = cut(counts)
-    ends = counts.agg(F.min("v").cast("double"), F.max("v").cast("double")).first()
-    low, width = ends[0] or 0.0, ((ends[1] or 0.0) - (ends[0] or 0.0)) or 1.0
-    placed = counts.withColumns({"_all": F.lit(1), "_cell": F.floor((F.col("v") - F.lit(low)) / F.lit(width) * CELLS).cast("long")})
-    below = with_running(placed, ["_all"], "_cell", [F.asc("v")], F.col("b"), "_upto")
-    t = F.col("a") + F.col("b")
+    below = _running(_placed(counts, "v"), "v", {"_upto": "b"})
+    # products of counts beyond 64 bits
+    one, two = F.col("a").cast("double"), F.col("b").cast("double")
+    t = one + two
     found = below.agg(
-        F.sum((F.col("a") * (F.col("_upto") - F.col("b")) + F.col("a") * F.col("b") / 2).cast("double")).alias("u"),
-        F.sum("a").cast("double").alias("n1"), F.sum("b").cast("double").alias("n2"), F.sum((t * t * t - t).cast("double")).alias("ties"),
-    )
+        F.sum(one * (F.col("_upto") - F.col("b")) + one * two / 2).alias("u"), F.sum(one).alias("n1"), F.sum(two).alias("n2"), F.sum(t * t * t - t).alias("ties")
+    )
 
     @F.pandas_udf("double")
     def tail(z: pd.Series) -> pd.Series:
@@ -104,7 +122,7 @@ def mann_whitney(values: DataFrame, group: str, value: str, greater: str, than:
     n = F.col("n1") + F.col("n2")
     variance = F.col("n1") * F.col("n2") / 12 * (n + 1 - F.try_divide("ties", n * (n - 1)))
     z = F.try_divide(F.col("u") - F.col("n1") * F.col("n2") / 2 - 0.5, F.sqrt(variance))
-    return found.select("u", tail(z).alias("p_value"))
+    return found.select("u", z.alias("z")).select("u", "z", tail(F.col("z")).alias("p_value"))
 
 
 def focal_loss(y: Column, prob: Column, gamma: float = 1.0, positive: float = 1.0, negative: float = 1.2, alpha: float | None = None) -> Column:

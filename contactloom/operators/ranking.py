@@ -50,6 +50,19 @@ def with_rank(df: DataFrame, group: list[str], bucket: str, order: list[Column],
     return with_running(df, group, bucket, order, F.lit(1).cast("long"), name)
 
 
+def shuffled(df: DataFrame, group: list[str], key: str, rows: int, seed: int = 7, name: str = "rank", rows_per_bucket: int = 50_000) -> DataFrame:
+    """Adds the rank from 1 within each group in a random order that follows from the seed and the key alone.
+
+    The order is that of the MD5 of seed:key, so it can be repeated anywhere. rows is the number of rows,
+    about. The key must be different for all rows of a group; group and key must hold no nulls.
+    """
+    hashed = df.withColumn("_md5", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))))
+    # an ordered bucket of the first 32 bits
+    top = F.conv(F.substring("_md5", 1, 8), 16, 10).cast("long")
+    bucketed = hashed.withColumn("_b", F.shiftright(top * F.lit(buckets_for(rows, rows_per_bucket)), 32).cast("int"))
+    return with_rank(bucketed, group, "_b", [F.col("_md5"), F.col(key)], name).drop("_md5", "_b")
+
+
 def spread(df: DataFrame, first: Column, last: Column, step: int, name: str, width: int = 10_000) -> DataFrame:
     """Each row once for every number first, first + step, ... up to last, in the new column `name`.
 

@@ -61,6 +61,20 @@ def wide_table(rows: DataFrame, keys: list[str], name: str, value: str, columns:
     return rows.groupBy(*keys).pivot(name, columns).agg(F.first(value))
 
 
+def joined(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Two tables beside each other: all keys of both, other columns null where a table has no row."""
+    return first.join(second, keys, "full")
+
+
+def combined_first(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of both by key; of columns that both have, the value of first, and that of second where it is null."""
+    ours = first.select(*keys, *(F.col(c).alias(f"_1{c}") for c in first.columns if c not in keys))
+    theirs = second.select(*keys, *(F.col(c).alias(f"_2{c}") for c in second.columns if c not in keys))
+    columns = [*first.columns, *(c for c in second.columns if c not in first.columns)]
+    value = lambda c: F.coalesce(*(F.col(f"_{k}{c}") for k, t in ((1, first), (2, second)) if c in t.columns)).alias(c)
+    return ours.join(theirs, keys, "full").select(*(c if c in keys else value(c) for c in columns))
+
+
 def melted(rows: DataFrame, pairs: dict[str, Column]) -> DataFrame:
     """(type, value): several columns below each other, without nulls."""
     entries = F.array(*(F.struct(F.lit(k).alias("type"), c.cast("double").alias("value")) for k, c in pairs.items()))

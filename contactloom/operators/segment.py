@@ -28,12 +28,12 @@ def filled(curve: DataFrame, spans: DataFrame, blank: float | None) -> DataFrame
     return listed.select("chrom", F.col("_at").alias("bin"), p.alias("p"))
 
 
-def smoothed(curve: DataFrame, window: int = 20) -> DataFrame:
-    """(chrom, bin, p): the moving average over `window` bins, zeros beyond both ends; contigs with fewer bins stay as they are."""
+def smoothed(curve: DataFrame, window: int = 20, least: float = 1.0) -> DataFrame:
+    """(chrom, bin, p): the moving average over `window` bins, zeros beyond both ends; contigs with fewer than least * window bins stay as they are."""
     along = Window.partitionBy("chrom").orderBy("bin").rowsBetween(-(window // 2), window - window // 2 - 1)
     whole = Window.partitionBy("chrom")
     return curve.select(
-        "chrom", "bin", F.when(F.count(F.lit(1)).over(whole) >= window, F.sum("p").over(along) / window).otherwise(F.col("p")).alias("p")
+        "chrom", "bin", F.when(F.count(F.lit(1)).over(whole) >= least * window, F.sum("p").over(along) / window).otherwise(F.col("p")).alias("p")
     )
 
 
@@ -106,14 +106,20 @@ def merged_parts(parts: DataFrame, least: int = 20) -> DataFrame:
     )
 
 
-def trimmed(parts: DataFrame, curve: DataFrame, chrom_sizes: DataFrame, resolution: int) -> DataFrame:
-    """(chrom, start, end) in bp: the first part begins at 0 and the last ends with the contig, where they reach the scored bins' ends."""
+def trimmed(parts: DataFrame, curve: DataFrame, chrom_sizes: DataFrame, resolution: int, legacy: bool = False) -> DataFrame:
+    """(chrom, start, end) in bp: the first part begins at 0 and the last ends with the contig, where they reach the scored bins' ends.
+
+    legacy lets every part that reaches the last scored bin end with the contig: if the last part is that bin
+    alone, the part before it then overlaps it.
+    """
     ends = curve.groupBy("chrom").agg(F.min("bin").alias("_first"), F.max("bin").alias("_last"))
-    known = parts.join(ends, "chrom").join(chrom_sizes, "chrom")
+    last_part = parts.groupBy("chrom").agg(F.max("b0").alias("_last_b0"))
+    known = parts.join(ends, "chrom").join(chrom_sizes, "chrom").join(last_part, "chrom")
+    at_end = (F.col("b1") == F.col("_last")) & (F.lit(legacy) | (F.col("b0") == F.col("_last_b0")))
     return known.select(
         "chrom",
         F.when(F.col("b0") == F.col("_first"), F.lit(0).cast("long")).otherwise(F.col("b0") * resolution).cast("long").alias("start"),
-        F.when(F.col("b1") == F.col("_last"), F.col("length")).otherwise(F.col("b1") * resolution).cast("long").alias("end"),
+        F.when(at_end, F.col("length")).otherwise(F.col("b1") * resolution).cast("long").alias("end"),
     )
 
 

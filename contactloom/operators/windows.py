@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.functions.images import both_mirrors, dense, sorted_cells
 from contactloom.operators import contacts
-from contactloom.operators.ranking import spread
+from contactloom.operators.ranking import spread, with_running
 
 WINDOW = ["resolution", "chrom", "pos"]
 
@@ -40,16 +40,45 @@ def every_position(chrom_sizes: DataFrame, resolutions: DataFrame, half: int = 1
     return spread(spans(chrom_sizes, resolutions, half), F.col("first"), F.col("last"), 1, "pos").select(*WINDOW)
 
 
+def window_sum_runs(cells: DataFrame, chrom_sizes: DataFrame, half: int = 10, width: int = 100_000) -> DataFrame:
+    """(resolution, chrom, first, last, total): the sum of every window, as runs of positions with equal sums; mirrored cells count twice.
+
+    All positions S to n - S are covered, with contacts or without. A cell adds to the sums from one
+    position on and takes its count away after another, so it makes two rows, and the sums are running
+    totals of these. They run in buckets of `width` positions, so no contig comes together in one task.
+    """
+    near = contacts.band(cells, 2 * half - 1).join(contacts.sizes(chrom_sizes), F.col("chrom1") == F.col("chrom"))
+    ranged = near.select(
+        "resolution", "chrom", F.greatest(F.col("bin2") - (half - 1), F.lit(half)).cast("long").alias("_from"),
+        F.least(F.col("bin1") + half, F.expr(f"length div resolution - {half}")).cast("long").alias("_to"),
+        F.when(F.col("bin1") == F.col("bin2"), F.col("cnt")).otherwise(2 * F.col("cnt")).alias("_v"),
+    ).where("_from <= _to")
+    change = lambda at, v: F.struct(at.alias("first"), v.alias("_v"))
+    steps = ranged.select("resolution", "chrom", F.explode(F.array(change(F.col("_from"), F.col("_v")), change(F.col("_to") + 1, -F.col("_v")))).alias("_c")).select("resolution", "chrom", "_c.*")
+    # the ends of a contig change nothing, but a run begins and ends there
+    limits = spans(chrom_sizes, cells, half)
+    bounds = limits.select("resolution", "chrom", F.explode(F.array("first", F.col("last") + 1)).alias("first"), F.lit(0).cast("long").alias("_v"))
+    every = steps.withColumn("_end", F.lit(False)).union(bounds.withColumn("_end", F.lit(True)))
+    changes = every.groupBy("resolution", "chrom", "first").agg(F.sum("_v").alias("_v"), F.max("_end").alias("_end")).where("_v <> 0 or _end").drop("_end")
+    contig = ["resolution", "chrom"]
+    placed = changes.withColumn("_b", F.expr(f"first div {width}"))
+    totals = with_running(placed, contig, "_b", [F.col("first")], F.col("_v"), "total")
+    # a run ends before the next change, which may lie in a later bucket
+    inside = Window.partitionBy(*contig, "_b").orderBy("first")
+    begins = placed.groupBy(*contig, "_b").agg(F.min("first").alias("_begin"))
+    following = begins.select(*contig, "_b", F.lead("_begin").over(Window.partitionBy(*contig).orderBy("_b")).alias("_after"))
+    known = totals.join(following, [*contig, "_b"]).withColumn("last", F.coalesce(F.lead("first").over(inside), F.col("_after")) - 1)
+    return known.where("last is not null").select(*contig, "first", "last", "total")
+
+
 def window_sums(cells: DataFrame, chrom_sizes: DataFrame, half: int = 10, least: int = 1) -> DataFrame:
     """(resolution, chrom, pos, total): the sum of each window with at least `least`; mirrored cells count twice.
 
-    With `least` 0 or below, windows without contacts are listed too, at all resolutions of cells.
+    With `least` 0 or below, windows without contacts are listed too, at all resolutions of cells; their
+    number follows the lengths (see window_sum_runs).
     """
-    twice = F.when(F.col("lo") == F.col("hi"), F.col("cnt")).otherwise(2 * F.col("cnt"))
-    sums = positions(cells, chrom_sizes, half).select(*WINDOW, twice.alias("total"))
-    if least <= 0:
-        sums = sums.union(every_position(chrom_sizes, cells, half).withColumn("total", F.lit(0).cast("long")))
-    return sums.groupBy(*WINDOW).agg(F.sum("total").alias("total")).where(F.col("total") >= least)
+    runs = window_sum_runs(cells, chrom_sizes, half).where(F.col("total") >= least)
+    return spread(runs, F.col("first"), F.col("last"), 1, "pos").select(*WINDOW, "total")
 
 
 def window_cells(cells: DataFrame, chrom_sizes: DataFrame, half: int = 10) -> DataFrame:
@@ -80,6 +109,40 @@ def images(window: DataFrame, half: int = 10, key: list[str] | None = None, ever
     return every.join(made, key or WINDOW, "left").withColumn("x", F.coalesce("x", blank))
 
 
+def window_images(cells: DataFrame, chrom_sizes: DataFrame, half: int = 10, width: int = 20, every: DataFrame | None = None) -> DataFrame:
+    """(resolution, chrom, pos, x): the same as images(window_cells(...)).
+
+    A cell moves to the blocks of `width` positions that it belongs to, two at most if these are as wide as a window,
+    instead of to each of its positions; a block has the cells of a few windows, which are cut out of it where it is.
+    """
+    side = 2 * half
+    near = contacts.band(cells, side - 1).join(contacts.sizes(chrom_sizes), F.col("chrom1") == F.col("chrom"))
+    ranged = near.select(
+        "resolution", "chrom", F.struct(F.col("bin1").cast("long").alias("lo"), F.col("bin2").cast("long").alias("hi"), "cnt").alias("_cell"),
+        F.greatest(F.col("bin2") - (half - 1), F.lit(half)).cast("long").alias("_from"),
+        F.least(F.col("bin1") + half, F.expr(f"length div resolution - {half}")).cast("long").alias("_to"),
+        F.expr(f"length div resolution - {half}").alias("_limit"),
+    ).where("_from <= _to")
+    blocks = ranged.withColumn("_k", F.explode(F.sequence(F.expr(f"_from div {width}"), F.expr(f"_to div {width}"))))
+    grouped = blocks.groupBy("resolution", "chrom", "_k").agg(F.collect_list("_cell").alias("_near"), F.max("_limit").alias("_limit"))
+    first, last = F.greatest(F.col("_k") * width, F.lit(half).cast("long")), F.least(F.col("_k") * width + (width - 1), F.col("_limit"))
+    placed = grouped.withColumn("pos", F.explode(F.sequence(first, last))).withColumn("_base", F.col("pos") - half)
+    within = F.filter("_near", lambda c: (c["lo"] >= F.col("_base")) & (c["hi"] < F.col("_base") + side))
+    value = lambda r, c, v: F.struct((r * side + c - F.col("_base") * (side + 1)).cast("int").alias("i"), v.alias("v"))
+    both = lambda c: F.when(c["lo"] == c["hi"], F.array(value(c["lo"], c["hi"], c["cnt"]))).otherwise(
+        F.array(value(c["lo"], c["hi"], c["cnt"]), value(c["hi"], c["lo"], c["cnt"]))
+    )
+    cut_out = placed.withColumn("_cells", F.array_sort(F.flatten(F.transform(within, both)))).where(F.size("_cells") > 0)
+    made = cut_out.select(*WINDOW, dense("_cells", side * side).alias("x"))
+    return made if every is None else with_blank(made, every, side)
+
+
+def with_blank(made: DataFrame, every: DataFrame, side: int) -> DataFrame:
+    """The images (resolution, chrom, pos, x) of all positions of `every`, those without contacts as zeros."""
+    blank = F.array_repeat(F.lit(0), side * side).cast(made.schema["x"].dataType)
+    return every.join(made, WINDOW, "left").withColumn("x", F.coalesce("x", blank))
+
+
 def labelled(windows: DataFrame, breakpoints: DataFrame, half: int = 10, tolerance: int = 7) -> DataFrame:
     """Adds y to (chrom, pos) rows: 0 if a breakpoint of the contig is in view, else 1.
 

@@ -121,9 +121,18 @@ def window_sums(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(windows.window_sums(_cells(spark, sf), _sizes(spark, sf)))
 
 
-@REGISTRY.query()
+@REGISTRY.query(f"""with {UPPER},
+ev as (select resolution, chrom, unnest([f, t + 1]) as first, unnest([v, -v]) as v from (
+  select resolution, chrom1 as chrom, greatest(bin2 - 9, 10)::bigint as f, least(bin1 + 10, length // resolution - 10)::bigint as t,
+    case when bin1 = bin2 then cnt else 2 * cnt end as v from u join sz on chrom = chrom1 where chrom1 = chrom2 and bin2 - bin1 <= 19) where f <= t),
+li as (select resolution, chrom, unnest([10, length // resolution - 9])::bigint as first from sz, (select distinct resolution from u) where length // resolution >= 20),
+ch as (select resolution, chrom, first, sum(v) as v from (
+  select *, false as e from ev union all select resolution, chrom, first, 0, true from li) group by 1, 2, 3 having sum(v) <> 0 or bool_or(e))
+select resolution::bigint as resolution, chrom, first, last, total::bigint as total from (
+  select resolution, chrom, first, lead(first) over w - 1 as last, sum(v) over w as total from ch window w as (partition by resolution, chrom order by first)) where last is not null""")
 def window_sums_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _whole(windows.window_sums(_cells(spark, sf), _sizes(spark, sf), least=0))
+    """All windows, with contacts or without, as runs of positions with equal sums."""
+    return _whole(windows.window_sum_runs(_cells(spark, sf), _sizes(spark, sf)))
 
 
 WINDOW_CELLS = POSITIONS + """, wc as (
@@ -145,7 +154,7 @@ def corner_rotate(spark: SparkSession, sf: str) -> DataFrame:
 select resolution, chrom, pos, array_to_string(list_transform(generate_series(0, 399), lambda i: coalesce(map_extract(m, i)[1], 0)), ',') as x
 from (select resolution, chrom, pos, map_from_entries(list((r * 20 + c, cnt))) as m from wc group by 1, 2, 3)""")
 def window_images(spark: SparkSession, sf: str) -> DataFrame:
-    made = windows.images(windows.window_cells(_cells(spark, sf), _sizes(spark, sf)))
+    made = windows.window_images(_cells(spark, sf), _sizes(spark, sf))
     return _whole(made.withColumn("x", F.array_join(F.col("x").cast("array<string>"), ",")))
 
 
@@ -249,25 +258,30 @@ def fragment_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @REGISTRY.query(f"""with {UPPER},
-p as (select chrom, unnest(generate_series(0, length // 25000 - 40, 40)) as bin0 from sz where length // 25000 >= 40 and length < 4000000)
-select a.chrom, a.bin0 as a0, b.bin0 as b0 from p a join p b on a.chrom = b.chrom and a.bin0 < b.bin0 where not (b.bin0 = a.bin0 + 40)""")
+p as (select resolution, chrom1, bin1 // 40 * 40 as a0, chrom2, bin2 // 40 * 40 as b0, sum(cnt) as contacts from u where cnt > 0 group by all)
+select resolution::bigint as resolution, chrom1, a0::bigint as a0, chrom2, b0::bigint as b0, contacts::bigint as contacts from p
+where not (chrom1 = chrom2 and abs(b0 - a0) <= 40)""")
 def noncontiguous_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    # only contigs of less than 4 Mb, as in the SQL; noncontiguous_pairs_all has all of them
-    short = contacts.sizes(_sizes(spark, sf)).where("length < 4000000")
-    return ends.noncontiguous_pairs(short, 25000, 40).select("chrom", "a0", "b0")
+    return _whole(ends.touching_pieces(_cells(spark, sf), 40))
 
 
-@REGISTRY.query()
+@REGISTRY.query(f"""with {UPPER},
+p as (select chrom, length // 25000 - 40 as last, unnest(generate_series(0, length // 25000 - 120, 40)) as a0 from sz where length // 25000 >= 120)
+select chrom, a0, a0 + 80 as b_first, last // 40 * 40 as b_last, (last // 40 * 40 - a0 - 80) // 40 + 1 as pairs from p""")
 def noncontiguous_pairs_all(spark: SparkSession, sf: str) -> DataFrame:
-    return ends.noncontiguous_pairs(_sizes(spark, sf), 25000, 40).select("chrom", "a0", "b0")
+    """All pairs of pieces of one contig that do not touch, with contacts or without, as one range per piece."""
+    return _whole(ends.noncontiguous_ranges(_sizes(spark, sf), 25000, 40))
+
 
+SUB_POSITIONS = f"with {UPPER} select chrom, unnest(generate_series(0, length // 25000 - 20, 20)) as bin0, bin0 + 20 as bin1 from sz where length // 25000 >= 20"
 
-@REGISTRY.query(f"with {UPPER} select chrom, unnest(generate_series(0, length // 25000 - 20, 20)) as bin0, bin0 + 20 as bin1 from sz where length // 25000 >= 20 and length < 1000000000")
+
+@REGISTRY.query(SUB_POSITIONS)
 def sub_positions(spark: SparkSession, sf: str) -> DataFrame:
-    return _whole(ends.sub_positions(_sizes(spark, sf).groupBy("chrom").agg(F.max("length").alias("length")).where("length < 1000000000"), 25000, 20))
+    return _whole(ends.sub_positions(_sizes(spark, sf), 25000, 20))
 
 
-@REGISTRY.query(f"with {UPPER} select chrom, unnest(generate_series(0, length // 25000 - 20, 20)) as bin0, bin0 + 20 as bin1 from sz where length // 25000 >= 20")
+@REGISTRY.query(SUB_POSITIONS)
 def sub_positions_all(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(ends.sub_positions(_sizes(spark, sf), 25000, 20))
 
@@ -307,6 +321,61 @@ def end_pair_sums(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(cells.groupBy("resolution", "chrom1", "side1", "chrom2", "side2").agg(F.sum(twice).alias("total")))
 
 
+#: seven even fragments of each contig, but for those that begin with u, which no fragment mentions
+SEVENTHS = "frg as (select chrom, length * k // 7 as s, length * (k + 1) // 7 as e from sz, (select unnest(generate_series(0, 6)) as k) where chrom not like 'u%')"
+#: pieces of fragments and of contigs without any, their end bins, and cells between and within them
+PIECES = """rs as (select distinct resolution from u),
+pc as materialized (select resolution, chrom || ':' || s || '-' || e as piece, chrom, s // resolution as bin0, e // resolution as bin1 from (
+  select distinct chrom, s, e from frg union all select chrom, 0, length from sz where chrom not in (select chrom from frg)), rs where e // resolution - s // resolution >= 4),
+eb as (select resolution, chrom, piece, side, d, case when side = 0 then bin0 + d else bin1 - 1 - d end as bin
+  from (select *, unnest(generate_series(0, least(bin1 - bin0, 10) - 1)) as d from pc), (values (0), (1)) t(side)),
+pe as materialized (select u.resolution, a.piece as p1, a.side as s1, a.d as d1, b.piece as p2, b.side as s2, b.d as d2, cnt,
+    case when a.piece < b.piece then -1 when a.piece > b.piece then 1 else 0 end as turn
+  from u join eb a on a.resolution = u.resolution and a.chrom = chrom1 and a.bin = bin1 join eb b on b.resolution = u.resolution and b.chrom = chrom2 and b.bin = bin2 where cnt > 0),
+bt as (select resolution, p1, s1, d1, p2, s2, d2, cnt from pe where turn = -1 union all select resolution, p2, s2, d2, p1, s1, d1, cnt from pe where turn = 1),
+pp as (select distinct resolution, p1, s1, p2, s2 from bt),
+wi as (select resolution, p1 as piece, s1 as side, least(d1, d2) as d0, greatest(d1, d2) as d1, cnt from pe where turn = 0 and s1 = s2)"""
+
+
+@REGISTRY.query(f"""with {UPPER}, {SEVENTHS}, {PIECES},
+x as (select resolution, p1, s1, p2, s2, 9 - d1 as r, 10 + d2 as c, cnt from bt
+  union all select pp.*, 9 - d1, 9 - d0, cnt from pp join wi on wi.resolution = pp.resolution and piece = p1 and side = s1
+  union all select pp.*, 10 + d0, 10 + d1, cnt from pp join wi on wi.resolution = pp.resolution and piece = p2 and side = s2),
+m as materialized (select resolution, p1, s1, p2, s2, map_from_entries(list((k, cnt))) as m from (
+  select resolution, p1, s1, p2, s2, r * 20 + c as k, cnt from x union all select resolution, p1, s1, p2, s2, c * 20 + r, cnt from x where r <> c) group by all)
+select m.resolution::bigint as resolution, p1 || ':' || s1 || '|' || p2 || ':' || s2 as name, array_to_string(list_transform(generate_series(0, 399), lambda i: case
+  when i // 20 < 10 and 9 - i // 20 >= a.bin1 - a.bin0 or i // 20 >= 10 and i // 20 - 10 >= b.bin1 - b.bin0
+    or i % 20 < 10 and 9 - i % 20 >= a.bin1 - a.bin0 or i % 20 >= 10 and i % 20 - 10 >= b.bin1 - b.bin0 then -1 else coalesce(map_extract(m, i)[1], 0) end), ',') as x
+from m join pc a on a.resolution = m.resolution and a.piece = p1 join pc b on b.resolution = m.resolution and b.piece = p2""")
+def fragment_end_images(spark: SparkSession, sf: str) -> DataFrame:
+    """Images of the ends of fragments; what lies beyond a short one is padding."""
+    cells = _cells(spark, sf)
+    fragments = _sevenths(spark, sf)
+    pieces = ends.fragment_pieces(fragments, _sizes(spark, sf), cells)
+    made = ends.piece_pair_images(ends.piece_pair_cells(cells, pieces), pieces)
+    return _whole(made.select("resolution", "name", F.array_join(F.col("x").cast("array<string>"), ",").alias("x")))
+
+
+def _sevenths(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = contacts.sizes(_sizes(spark, sf)).where("chrom not like 'u%'").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(6))))
+    return sizes.select("chrom", F.expr("length * k div 7").alias("start"), F.expr("length * (k + 1) div 7").alias("end"))
+
+
+@REGISTRY.query(f"""with {UPPER}, {FRAGMENTS},
+z as (select chrom, s // 25000 as bin0, e // 25000 as bin1, min(chrom || ':' || s || '-' || e) as line from fr group by 1, 2, 3),
+p as (select chrom, length, unnest(generate_series(0, length // 25000 - 20, 20)) as bin0, bin0 + 20 as bin1 from sz where length // 25000 >= 20
+  union all select chrom, length, 0, length // 25000 from sz)
+select p.chrom, p.bin0, p.bin1, coalesce(line, p.chrom || ':' || (p.bin0 * 25000) || '-' || (case when length // 25000 = p.bin1 then length else p.bin1 * 25000 end)) as name
+from p left join z on z.chrom = p.chrom and z.bin0 = p.bin0 and z.bin1 = p.bin1""")
+def base_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The names in bp of pieces in bins: those of the corrected contigs where there are any."""
+    sizes = contacts.sizes(_sizes(spark, sf))
+    pieces = ends.sub_positions(_sizes(spark, sf), 25000, 20).union(sizes.select("chrom", F.lit(0).cast("long"), F.expr("length div 25000")))
+    lines = table(spark, sf, "prob_net").select(F.col("a").alias("line")).distinct()
+    named = ends.named_pieces(lines, pieces.join(sizes, "chrom").withColumn("resolution", F.lit(25000)))
+    return _whole(named.select("chrom", "bin0", "bin1", "name"))
+
+
 def _series(spark: SparkSession, sf: str) -> DataFrame:
     along = Window.partitionBy("user_id").orderBy("ts", "event_id")
     p = F.least(F.col("value") / 100, F.lit(1.0))
@@ -346,13 +415,34 @@ def segment_runs(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(segment.runs(_masked(spark, sf), 0.1))
 
 
-@REGISTRY.query()
+def merged_sql(parts: str, least: int) -> str:
+    """CTEs that merge the short ones of parts (chrom, b0, b1) from left to right, one part of every contig at a time; mp is the result."""
+    middle, last = "a0 + (a1 - a0) // 2", "{'b0': done[-1].b0, 'b1': a0 + (a1 - a0) // 2}"
+    return f"""mo as (select chrom, row_number() over (partition by chrom order by b0, b1) as k, b0::bigint as b0, b1::bigint as b1 from {parts}),
+mf as (select chrom, k, b0 as a0, b1 as a1, []::struct(b0 bigint, b1 bigint)[] as done from mo where k = 1
+  union all
+  select mf.chrom, mo.k, case when a1 - a0 >= {least} then mo.b0 when len(done) = 0 then a0 else {middle} end, mo.b1,
+    case when a1 - a0 >= {least} then list_append(done, {{'b0': a0, 'b1': a1}}) when len(done) = 0 then done else list_append(done[:-2], {last}) end
+  from mf join mo on mo.chrom = mf.chrom and mo.k = mf.k + 1),
+mz as (select chrom, list_append(done, {{'b0': a0, 'b1': a1}}) as l from mf qualify k = max(k) over (partition by chrom)),
+mp as (select chrom, part_id, p.b0 as b0, p.b1 as b1 from (select chrom, unnest(generate_series(1, len(l))) as part_id, unnest(l) as p from mz))"""
+
+
+@REGISTRY.query(f"with recursive {RUNS}, {merged_sql('parts', 5)} select chrom, part_id, b0, b1 from mp")
 def merge_short_parts(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(segment.merged_parts(segment.runs(_masked(spark, sf), 0.1), 5))
 
 
+@REGISTRY.query(f"""with {SERIES}
+select chrom, bin, round(case when count(*) over (partition by chrom) >= 30
+  then sum(p) over (partition by chrom order by bin rows between 10 preceding and 9 following) / 20 else p end, 8) as p from m""")
+def smooth20_long(spark: SparkSession, sf: str) -> DataFrame:
+    """Smoothed only where a contig has one and a half windows."""
+    return segment.smoothed(segment.corner_mean(_series(spark, sf)), least=1.5).withColumn("p", F.round("p", 8))
+
+
 @REGISTRY.query(f"""with {RUNS}, b as (select chrom, min(bin) as f, max(bin) as l from k group by chrom)
-select chrom, case when b0 = f then 0 else b0 * 5000 end as start, case when b1 = l then (l + 11) * 5000 - 7 else b1 * 5000 end as "end" from parts join b using (chrom)""")
+select chrom, case when b0 = f then 0 else b0 * 5000 end as start, case when b1 = l and b0 = max(b0) over (partition by chrom) then (l + 11) * 5000 - 7 else b1 * 5000 end as "end" from parts join b using (chrom)""")
 def edge_trim(spark: SparkSession, sf: str) -> DataFrame:
     curve = _masked(spark, sf)
     lengths = curve.groupBy("chrom").agg(((F.max("bin") + 11) * 5000 - 7).alias("length"))
@@ -371,10 +461,10 @@ def curve_splice(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(segment.spliced(curve, curve.withColumn("p", F.col("p") / 2)))
 
 
-@REGISTRY.query(f"with {UPPER} select resolution::bigint as resolution, chrom1 as chrom, bin1::bigint as bin, (bin1 * resolution // 40000)::bigint as bin_40k from u group by 1, 2, 3, 4")
+@REGISTRY.query(f"with {UPPER} select resolution::bigint as resolution, chrom1 as chrom, bin1::bigint as bin, (bin1::bigint * resolution // 40000)::bigint as bin_40k from u group by 1, 2, 3, 4")
 def bin_rescale(spark: SparkSession, sf: str) -> DataFrame:
     cells = _cells(spark, sf)
-    scaled = F.when(F.col("resolution") == 5000, contacts.rescaled(F.col("bin1"), 5000, 40000)).otherwise(contacts.rescaled(F.col("bin1"), 25000, 40000))
+    scaled = contacts.rescaled(F.col("bin1"), F.col("resolution"), 40000)
     return _whole(cells.select("resolution", F.col("chrom1").alias("chrom"), F.col("bin1").alias("bin"), scaled.alias("bin_40k")).distinct())
 
 

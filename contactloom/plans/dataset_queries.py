@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contactloom.operators import breakpoints, contacts, dataset, links, metrics, report, scorer, simulate, training
-from contactloom.plans.contact_queries import _cells, _sizes, _whole
+from contactloom.operators import breakpoints, contacts, dataset, features, links, metrics, report, scorer, simulate, training
+from contactloom.functions import names
+from contactloom.plans.contact_queries import UPPER, _cells, _sizes, _whole
 from contactloom.plans.registry import Registry
 from contactloom.sources.tables import table
 
@@ -123,15 +124,31 @@ def equalize_cap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @REGISTRY.query("""with g as (select grp, max(y)::bigint as y from images where grp is not null and y is not null group by grp),
-r as (select *, row_number() over (partition by y order by grp) - 1 as k, count(*) over (partition by y) as n from g)
-select grp, y, case when k < floor(n * 0.05) then 'test' when k < floor(n * 0.05) + floor(n * 0.1) then 'val' else 'train' end as split from r""")
+r as (select *, row_number() over (partition by y order by md5('42:' || grp)) as k, ceil(count(*) over (partition by y) * (0.1::double + 0.05::double)) as held from g)
+select grp, y, case when k <= ceil(held * (0.1::double / (0.1::double + 0.05::double))) then 'val' when k <= held then 'test' else 'train' end as split from r""")
 def group_split(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(dataset.group_split(table(spark, sf, "images"), val=0.1, test=0.05))
 
 
-@REGISTRY.query("select grp as value, count(distinct split)::bigint as splits from images where grp is not null and split is not null group by 1 having count(distinct split) > 1")
+@REGISTRY.query("""with g as (select distinct grp from images where grp is not null),
+r as (select *, row_number() over (order by md5('42:' || grp)) as k, count(*) over () as n from g)
+select grp, case when k <= trunc(0.05::double * n) + 1 then 'test' when k <= trunc(0.05::double * n) + 1 + trunc(0.1::double * n) + 1 then 'val' else 'train' end as split from r""")
+def group_split_legacy(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.group_split_legacy(table(spark, sf, "images"), val=0.1, test=0.05)
+
+
+@REGISTRY.query(f"with {RECORDS} select sample_id, name from i order by md5('42:' || sample_id) limit 9")
+def sample_draw(spark: SparkSession, sf: str) -> DataFrame:
+    return dataset.drawn(_records(spark, sf).select("sample_id", "name"), 9)
+
+
+@REGISTRY.query(r"""select 'group' as kind, grp::varchar as value, count(distinct split)::bigint as splits from images where grp is not null and split is not null group by grp having count(distinct split) > 1
+union all select 'name', n, count(distinct split)::bigint from (select lower(regexp_replace(name, '\s+', '', 'g')) as n, split from images where name is not null and split is not null) group by n having count(distinct split) > 1""")
 def split_disjointness(spark: SparkSession, sf: str) -> DataFrame:
-    return dataset.shared_between_splits(table(spark, sf, "images"), "grp")
+    """Groups and names that are in more than one split."""
+    images = table(spark, sf, "images")
+    groups = dataset.shared_between_splits(images, F.col("grp").cast("string")).select(F.lit("group").alias("kind"), "value", "splits")
+    return groups.union(dataset.shared_between_splits(images, names.plain(F.col("name"))).select(F.lit("name").alias("kind"), "value", "splits"))
 
 
 @REGISTRY.query(f"with {RECORDS} select split, count(*)::bigint as n, round(avg(y) * 100, 6) as positive from i where y in (0, 1) group by split")
@@ -157,21 +174,29 @@ def border_mask(spark: SparkSession, sf: str) -> DataFrame:
     return _joined(rows.select("sample_id", dataset.border_masked(F.col("x"), 20, 3).alias("x")))
 
 
-@REGISTRY.query(f"""with {RECORDS} select sample_id, round(list_sum([case when v = -1 then 0 else least(greatest(v / 31.0, 0), 1) end for v in x])::double, 6) as total,
-  len([v for v in x if v = -1])::bigint as padded from i where x is not null""")
+@REGISTRY.query(f"""with {RECORDS} select sample_id, array_to_string([round(1e6 * case when v = -1 then -1 else least(greatest(v / 31.0, 0), 1) end)::bigint for v in x], ',') as x from i where x is not null""")
 def minmax_clip(spark: SparkSession, sf: str) -> DataFrame:
     scaled = _records(spark, sf).where("x is not null").select("sample_id", dataset.minmax(F.col("x"), F.lit(31.0)).alias("x"))
-    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + F.when(v == -1, 0.0).otherwise(v))
-    return _whole(scaled.select("sample_id", total.alias("total"), F.size(F.filter("x", lambda v: v == -1)).alias("padded")))
+    # in millionths
+    return _joined(scaled.withColumn("x", F.transform("x", lambda v: F.round(v * 1e6).cast("long"))))
 
 
-@REGISTRY.query(f"""with {RECORDS} select sample_id, round(list_sum([((ln(1 + v) - 1.5) / 0.8 + 1.875) / 6 for v in x])::double, 6) as total
-from i where x is not null and list_min(x) >= 0""")
+@REGISTRY.query(f"""with {UPPER}, {RECORDS},
+v as (select resolution, ln(1 + cnt) as v from u where chrom1 = chrom2 and cnt > 0),
+a as (select resolution, avg(v) as mean, stddev_pop(v) as std, min(v) as l, max(v) as g from v group by 1),
+t as (select sample_id, len([v for v in x if v = -1])::bigint as padded,
+  list_sum([case when v = -1 then 0.0 else coalesce((ln(1 + v) - l) / nullif(g - l, 0), 0) end for v in x])::double as total
+  from i left join a on resolution = bin_size where x is not null)
+select sample_id, padded, round(total, 4) as total from t""")
 def zscore_norm(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _records(spark, sf).where(F.col("x").isNotNull() & (F.array_min("x") >= 0))
-    stats = [F.lit(v) for v in (1.5, 0.8, -1.875, 4.125)]
-    scaled = rows.select("sample_id", dataset.standardised(F.col("x"), *stats).alias("x"))
-    return _whole(scaled.select("sample_id", F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("total")))
+    """Images standardised by the contacts of their resolution; those without any give 0."""
+    stats = contacts.whole_stats(_cells(spark, sf)).withColumnRenamed("resolution", "bin_size")
+    rows = _records(spark, sf).where("x is not null").join(F.broadcast(stats), "bin_size", "left")
+    scaled = rows.select("sample_id", dataset.standardised(F.col("x"), *map(F.col, ("mean", "std", "least", "greatest"))).alias("x"))
+    padded = F.size(F.filter("x", lambda v: v == -1)).cast("long")
+    # padding is -1
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) + padded
+    return scaled.select("sample_id", padded.alias("padded"), F.round(total, 4).alias("total"))
 
 
 @REGISTRY.query(f"with {SCORED} select sample_id, round(prob, 6) as prob from sc")
@@ -184,6 +209,15 @@ def cnn_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scorer.network_scores(_records(spark, sf))
 
 
+@REGISTRY.query()
+def feature_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the evaluation splits by a logistic regression over the training split."""
+    images = _records(spark, sf)
+    held = images.where(F.col("split").isin("val", "test"))
+    scored = features.feature_scores(held, features.fitted(images.where("split = 'train'")))
+    return scored.join(held.select("sample_id", "split", "y"), "sample_id")
+
+
 @REGISTRY.query()
 def trained_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of the evaluation splits by a network trained on the training split."""
@@ -193,6 +227,17 @@ def trained_scores(spark: SparkSession, sf: str) -> DataFrame:
     return scored.join(held.select("sample_id", "split", "y"), "sample_id")
 
 
+@REGISTRY.query(f"with {SCORED} select sample_id, y::bigint as y, round(prob, 6) as prob from ok where (prob >= 0.5)::int <> y")
+def misclassified(spark: SparkSession, sf: str) -> DataFrame:
+    return _whole(dataset.misclassified(_scored(spark, sf)).select("sample_id", "y", "prob"))
+
+
+@REGISTRY.query(f"with {SUMS} select unnest([0.2, 0.4, 0.5, 0.6, 0.8])::double as quantile, round(unnest(quantile_cont(total, [0.2, 0.4, 0.5, 0.6, 0.8])), 6) as marker from s")
+def quantile_markers(spark: SparkSession, sf: str) -> DataFrame:
+    sums = _records(spark, sf).where("x is not null").select(dataset.image_sum(F.col("x")).alias("total"))
+    return _whole(dataset.quantile_markers(sums, "total"))
+
+
 @REGISTRY.query(f"with {CONFUSION} select * from cf")
 def confusion(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.confusion(_scored(spark, sf))
@@ -226,11 +271,14 @@ def pr_curve(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(metrics.curve_points(_scored(spark, sf)))
 
 
-@REGISTRY.query(f"""with {SCORED}, r as (select y, (y = 1)::int as g, rank() over (order by prob) + (count(*) over (partition by prob) - 1) / 2 as k from ok)
-select round((sum(k) filter (where g = 1) - count(*) filter (where g = 1) * (count(*) filter (where g = 1) + 1) / 2)::double, 6) as u from r""")
+@REGISTRY.query(f"""with {SCORED}, r as (select y, (y = 1)::int as g, rank() over (order by prob) + (count(*) over (partition by prob) - 1) / 2 as k from ok),
+c as (select count(*) filter (where g = 1)::double as n1, count(*) filter (where g = 0)::double as n2, sum(k) filter (where g = 1)::double as s from r),
+t as (select sum(n * n * n - n) as ties from (select count(*)::double as n from ok group by prob))
+select round(s - n1 * (n1 + 1) / 2, 6) as u, round((s - n1 * (n1 + 1) / 2 - n1 * n2 / 2 - 0.5)
+  / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 6) as z from c, t""")
 def mann_whitney_u(spark: SparkSession, sf: str) -> DataFrame:
     rows = metrics.usable(_scored(spark, sf)).withColumn("label", F.col("y").cast("string"))
-    return _whole(metrics.mann_whitney(rows, "label", "prob", "1", "0").select("u"))
+    return _whole(metrics.mann_whitney(rows, "label", "prob", "1", "0").select("u", "z"))
 
 
 @REGISTRY.query(f"""with {SCORED}, f as (select y, greatest(least(prob, 1 - 1e-7), 1e-7) as p from ok), g as (select y, case when y = 1 then p else 1 - p end as pt from f)
@@ -268,17 +316,16 @@ def resolution_avg(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(links.across_resolutions(_links(spark, sf)))
 
 
-@REGISTRY.query(f"with {CANONICAL} select resolution::bigint as resolution, a, b, oa, ob, round(prob, 6) as prob from c where round(prob, 4) >= 0.3")
+@REGISTRY.query(f"with {CANONICAL} select resolution::bigint as resolution, a, b, oa, ob, round(prob, 6) as prob from c where round(prob + 1e-9, 4) >= 0.3")
 def edge_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(links.strong(_links(spark, sf), 0.3).drop("weight", "n"))
 
 
 @REGISTRY.query(f"""with {ACROSS}, e as (select *, (oa = 'Start' and ob = 'End') as sw from m)
 select case when sw then b else a end as a, case when sw then a else b end as b, case when sw then 'End-Start' else oa || '-' || ob end as type,
-  case when oa = 'End' or sw then '+' else '-' end as sign_a, case when sw or ob = 'Start' then '+' else '-' end as sign_b from e""")
+  case when oa = 'End' or sw then '+' else '-' end as sign_a, case when sw or ob = 'Start' then '+' else '-' end as sign_b, round(prob + 1e-9, 4) as weight from e""")
 def orient_edges(spark: SparkSession, sf: str) -> DataFrame:
-    # without the weight, as engines round a half in the fourth digit differently
-    return links.edges(links.across_resolutions(_links(spark, sf))).drop("weight")
+    return links.edges(links.across_resolutions(_links(spark, sf)))
 
 
 @REGISTRY.query("""with l as (select a as node from prob_net union select b from prob_net),
@@ -289,10 +336,24 @@ def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return links.nodes(table(spark, sf, "prob_net"), _sizes(spark, sf))
 
 
-@REGISTRY.query()
+#: lines of the graph with nodes n (node, chrom) and edges ed (a, b, sign_a, sign_b, weight)
+GFA = r"""select 0::bigint as rank, 'H' || chr(9) || 'VN:Z:1.0' as line
+union all select 1, concat_ws(chr(9), 'S', node, '*', 'LN:i:' || coalesce(nullif(regexp_extract(node, '^(.*):([0-9]+)-([0-9]+)$', 3), '')::bigint - regexp_extract(node, '^(.*):([0-9]+)-([0-9]+)$', 2)::bigint, 0)) from nd
+union all select 2, concat_ws(chr(9), 'L', a, sign_a, b, sign_b, '0M', 'FC:i:' || regexp_replace(printf('%.4f', weight), '(\.\d+?)0+$', '\1')) from ed where weight >= {least}"""
+#: nodes and edges of the links m (a, b, oa, ob, prob)
+GRAPH = """ed as (select case when oa = 'Start' and ob = 'End' then b else a end as a, case when oa = 'Start' and ob = 'End' then a else b end as b,
+  case when oa = 'End' or ob = 'End' and oa = 'Start' then '+' else '-' end as sign_a, case when oa = 'Start' and ob = 'End' or ob = 'Start' then '+' else '-' end as sign_b,
+  round(prob + 1e-9, 4) as weight from m),
+nd as (with n as (select node, case when regexp_matches(node, '^(.*):([0-9]+)-([0-9]+)$') then regexp_extract(node, '^(.*):([0-9]+)-([0-9]+)$', 1) else node end as chrom
+    from (select a as node from m union select b from m)),
+  z as (select chrom, max(length) as length from chrom_sizes where chrom is not null and length is not null group by chrom)
+  select node, chrom from n union all select chrom || ':0-' || length, chrom from z where chrom not in (select chrom from n))"""
+
+
+@REGISTRY.query(f"with {ACROSS}, {GRAPH} {GFA.format(least=0.2)}")
 def gfa_lines(spark: SparkSession, sf: str) -> DataFrame:
     merged = links.across_resolutions(_links(spark, sf))
-    return links.gfa_lines(links.nodes(merged, _sizes(spark, sf)), links.edges(merged))
+    return _whole(links.gfa_lines(links.nodes(merged, _sizes(spark, sf)), links.edges(merged)))
 
 
 @REGISTRY.query(f"""with {RECORDS}, p as (select split_part(name, '|', 1) as l, split_part(name, '|', 2) as r, (sample_id % 100) / 100 as prob from i where len(string_split(name, '|')) = 2)
@@ -352,10 +413,11 @@ def contig_break(spark: SparkSession, sf: str) -> DataFrame:
     return simulate.broken(contacts.sizes(_sizes(spark, sf)), 50_000)
 
 
-@REGISTRY.query(r"""with p as (select doc_id as name, list_filter(string_split(text, chr(10)), lambda s: s <> '') as a from documents where text is not null)
+@REGISTRY.query(r"""with p as (select doc_id as name, list_filter(string_split(replace(text, chr(10), 'NNNN'), 'NNN'), lambda s: s <> '') as a from documents where text is not null)
 select name, unnest(generate_series(1, len(a))) as piece, unnest(a) as seq from p""")
 def seq_split(spark: SparkSession, sf: str) -> DataFrame:
-    return simulate.split_sequences(table(spark, sf, "documents").select(F.col("doc_id").alias("name"), F.col("text").alias("seq")), "\n")
+    # lines as contigs of a scaffold, with four N between them, of which one stays with the next
+    return simulate.split_sequences(table(spark, sf, "documents").select(F.col("doc_id").alias("name"), F.replace("text", F.lit("\n"), F.lit("NNNN")).alias("seq")))
 
 
 @REGISTRY.query("""with s as (select doc_id, regexp_replace(upper(text), '[^ACGTN]', '', 'g') as seq from documents where text is not null)
@@ -417,6 +479,23 @@ def gap_length(spark: SparkSession, sf: str) -> DataFrame:
     return _whole(table(spark, sf, "prob_net").select("link_id", report.gap_length(F.col("a"), F.col("b")).alias("gap")).distinct())
 
 
+@REGISTRY.query(f"with {TOOLS}, h as (select o_orderpriority as tool, avg(o_totalprice) as price from orders where o_orderstatus = 'F' group by 1) select tool, dataset, value, round(price, 4) as price from o full join h using (tool)")
+def side_by_side(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tables of tools beside each other."""
+    price = table(spark, sf, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_orderpriority").alias("tool")).agg(F.round(F.avg("o_totalprice"), 4).alias("price"))
+    return report.joined(_tools(spark, sf).drop("n"), price, ["tool"])
+
+
+@REGISTRY.query("""with a as (select o_orderkey as key, max(case when o_orderstatus = 'F' then o_totalprice end) as value, max(o_orderpriority) as priority from orders group by 1),
+b as (select event_id as key, max(value) as value, max(event_type) as event_type from events group by 1)
+select key, coalesce(a.value, b.value) as value, priority, event_type from a full join b using (key)""")
+def combine_first(spark: SparkSession, sf: str) -> DataFrame:
+    price = F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))).alias("value")
+    orders = table(spark, sf, "orders").groupBy(F.col("o_orderkey").alias("key")).agg(price, F.max("o_orderpriority").alias("priority"))
+    events = table(spark, sf, "events").groupBy(F.col("event_id").alias("key")).agg(F.max("value").alias("value"), F.max("event_type").alias("event_type"))
+    return report.combined_first(orders, events, ["key"])
+
+
 @REGISTRY.query("""with w as (select c_mktsegment as segment, count(*)::double as n, sum(c_acctbal) as total, max(c_acctbal) as most from customer group by 1)
 select segment, metric, round(value, 2) as value from (unpivot w on n, total, most into name metric value value)""")
 def metric_unpivot(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from contactloom.functions import names
-from contactloom.operators import breakpoints, contacts, dataset, ends, heavykeys, links, metrics, ranking, report, scorer, segment, simulate, training, windows
+from contactloom.operators import breakpoints, contacts, dataset, ends, features, heavykeys, links, metrics, ranking, report, scorer, segment, simulate, training, windows
 from contactloom.plans import pipelines
 
 PIXEL = "resolution int, chrom1 string, bin1 int, chrom2 string, bin2 int, cnt long, extra string"
@@ -47,6 +47,8 @@ def test_windows_of_small_contigs(spark, n):
     made = {r.pos: r.x for r in windows.images(windows.window_cells(cells, size)).collect()}
     want = {p: m[p - 10 : p + 10, p - 10 : p + 10] for p in range(10, n - 9)}
     assert {p: x for p, x in made.items()} == {p: [int(v) for v in w.ravel()] for p, w in want.items() if w.any()}
+    for width in (1, 7, 20):
+        assert {r.pos: r.x for r in windows.window_images(cells, size, width=width).collect()} == made
     turned = {r.pos: r.x for r in windows.images(windows.rotated(windows.window_cells(cells, size))).collect()}
     assert turned == {p: x[::-1] for p, x in made.items()}
     assert {r.pos: r.total for r in windows.window_sums(cells, size).collect()} == {p: int(w.sum()) for p, w in want.items() if w.any()}
@@ -77,6 +79,44 @@ def test_coarsening_keeps_the_sum_and_binning_agrees(spark):
         contacts.binned(df, [100, 150])
 
 
+def fragments(spark, rows):
+    return spark.createDataFrame(rows, "chrom string, start long, end long")
+
+
+def test_fragments_of_one_contig_have_images_too(spark):
+    rng = np.random.default_rng(5)
+    m = random_matrix(rng, 60)
+    at = {"c:0-205": (0, 20), "c:205-270": (20, 27), "c:270-605": (27, 60)}
+    cells, size = contacts.upper(pixels(spark, as_rows(m))), sizes(spark, c=605, alone=70, tiny=30)
+    given = fragments(spark, [("c", 0, 205), ("c", 205, 270), ("c", 270, 605), ("c", 0, 205), ("c", None, 3), ("gone", 0, 20)])
+    pieces = ends.fragment_pieces(given, size, cells)
+    assert {(r.piece, r.bin0, r.bin1) for r in pieces.collect()} == {(k, *v) for k, v in at.items()} | {("alone:0-70", 0, 7)}
+    got = {r.name: r.x for r in ends.piece_pair_images(ends.piece_pair_cells(cells, pieces), pieces).collect()}
+    inside = lambda k, side: [b for b in (range(at[k][0], at[k][1]) if side == 0 else range(at[k][1] - 1, at[k][0] - 1, -1))][:10]
+    want = {}
+    for a in sorted(at):
+        for b in sorted(at):
+            for s in (0, 1):
+                for t in (0, 1):
+                    if a < b:
+                        one, two = inside(a, s), inside(b, t)
+                        bins = [one[9 - k] if 9 - k < len(one) else None for k in range(10)] + [two[k] if k < len(two) else None for k in range(10)]
+                        x = [[-1 if i is None or j is None else int(m[i, j]) for j in bins] for i in bins]
+                        if any(v > 0 for row in x[:10] for v in row[10:]):
+                            want[f"{a}:{s}|{b}:{t}"] = [v for row in x for v in row]
+    assert got == want and len(want) == 12
+    strong = ends.piece_pair_cells(cells, pieces, least=40)
+    sums = {n: sum(v for k, v in enumerate(x) if k // 20 < 10 <= k % 20 and v > 0) for n, x in want.items()}
+    assert {f"{r.piece1}:{r.side1}|{r.piece2}:{r.side2}" for r in strong.collect()} == {n for n, v in sums.items() if v >= 40}
+
+
+def test_names_of_pieces(spark):
+    lines = spark.createDataFrame([("c:0-1049",), ("c:1049-2000",), ("odd",), (None,)], "line string")
+    pieces = spark.createDataFrame([("c", 0, 10, 100, 2077), ("c", 10, 20, 100, 2077), ("c", 5, 20, 100, 2077), ("c", 5, 12, 100, 2077)], "chrom string, bin0 long, bin1 long, resolution int, length long")
+    got = {(r.bin0, r.bin1): r.name for r in ends.named_pieces(lines, pieces).collect()}
+    assert got == {(0, 10): "c:0-1049", (10, 20): "c:1049-2000", (5, 20): "c:500-2077", (5, 12): "c:500-1200"}
+
+
 @pytest.mark.parametrize("na,nb", [(3, 30), (4, 9), (10, 30), (30, 3)])
 def test_end_pair_images_follow_the_closed_form(spark, na, nb):
     rng = np.random.default_rng(na * 100 + nb)
@@ -84,7 +124,8 @@ def test_end_pair_images_follow_the_closed_form(spark, na, nb):
     a, b, ab = whole[:na, :na], whole[na:, na:], whole[:na, na:]
     rows = as_rows(a, "a") + as_rows(b, "b") + [(10, "a", i, "b", j, int(ab[i, j])) for i in range(na) for j in range(nb) if ab[i, j]]
     cells, size = contacts.upper(pixels(spark, rows)), sizes(spark, a=na * 10 + 1, b=nb * 10 + 9)
-    got = {(r.side1, r.side2): (r.name, r.x) for r in ends.end_pair_images(ends.end_pair_cells(cells, size), size).collect()}
+    pieces = ends.fragment_pieces(fragments(spark, []), size, cells, least_bins=1)
+    got = {(r.side1, r.side2): (r.name, r.x) for r in ends.piece_pair_images(ends.piece_pair_cells(cells, pieces), pieces).collect()}
     for s1 in (0, 1):
         for s2 in (0, 1):
             at = lambda k, s1=s1, s2=s2: ((9 - k) if s1 == 0 else na - 1 - (9 - k)) if k < 10 else na + ((k - 10) if s2 == 0 else nb - 1 - (k - 10))
@@ -109,6 +150,14 @@ def test_runs(spark):
     assert got == {k: v for k, v in KEEP.items() if v} | {"masked": [(0, 2)], "null": [(0, 1), (1, 1)]}
 
 
+def test_parts_do_not_overlap_at_the_end(spark):
+    parts = spark.createDataFrame([("a", 1, 10, 30), ("a", 2, 30, 30), ("b", 1, 12, 20)], "chrom string, part_id int, b0 long, b1 long")
+    curve = spark.createDataFrame([("a", 10), ("a", 30), ("b", 10), ("b", 20)], "chrom string, bin long")
+    size = spark.createDataFrame([("a", 411), ("b", 305)], "chrom string, length long")
+    assert {tuple(r) for r in segment.trimmed(parts, curve, size, 10).collect()} == {("a", 0, 300), ("a", 300, 411), ("b", 120, 305)}
+    assert ("a", 0, 411) in {tuple(r) for r in segment.trimmed(parts, curve, size, 10, legacy=True).collect()}
+
+
 def merge_by_hand(parts, least):
     parts, k = [list(p) for p in parts], 0
     while k < len(parts) - 1:
@@ -164,6 +213,11 @@ def test_links_average_both_directions(spark):
     assert {tuple(r) for r in edge.collect()} == {("B", "A", "End-Start", "+", "+", 0.5), ("A", "B", "End-End", "+", "-", 0.1)}
     graph = links.nodes(found, sizes(spark, **{"C": 7, "A": 9}))
     assert ("C:0-7", "C") in {tuple(r) for r in graph.collect()} and "A:0-9" in {r.node for r in graph.collect()}
+    assert [r[0] for r in spark.createDataFrame([(v,) for v in (0.0005, 0.5, 1.0, 0.12345, 0.0)], "v double").select(links.decimal(links.rounded(F.col("v")))).collect()] == ["0.0005", "0.5", "1.0", "0.1235", "0.0"]
+    parts = spark.createDataFrame([("A:2-9", "A", 2, 9), ("A:5-40", "A", 5, 40), ("A:20-30", "A", 20, 30), ("B:0-3", "B", 0, 3), ("A:4-4", "A", 4, 4)], "node string, chrom string, _s long, _e long")
+    whole = "acgtacgtacgtttg"
+    cut_out = {r.node: r.seq for r in links.sliced(parts, spark.createDataFrame([("A", whole), ("C", None)], "name string, seq string"), 4).collect()}
+    assert cut_out == {"A:2-9": whole[2:9], "A:5-40": whole[5:40]}
     lines = [r.line for r in links.gfa_lines(graph, edge, spark.createDataFrame([("A", "acgtacgtacgt")], "name string, seq string")).orderBy("rank").collect()]
     assert lines[0].startswith("H\t") and "S\tA:0-9\tACGTACGTA\tLN:i:9" in lines and sum(x.startswith("L\t") for x in lines) == 1
 
@@ -247,6 +301,10 @@ def test_metrics_with_ties(spark):
     labelled = df.withColumn("l", F.col("y").cast("string"))
     test = metrics.mann_whitney(metrics.usable(labelled), "l", "prob", "1", "0").first()
     assert test.u == pytest.approx(u) and 0 < test.p_value < 1
+    # counts whose products and cubes are beyond 64 bits
+    many = spark.range(8).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") / 2).cast("int").cast("double").alias("prob"))
+    big = metrics.mann_whitney(many.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("l", F.col("y").cast("string")), "l", "prob", "1", "0").first()
+    assert big.u == 12 * 12 / 2 and big.z < 0
     assert metrics.confusion(df.limit(0)).first().tp == 0 and metrics.scores(metrics.confusion(df.limit(0))).first().npv == 0
 
 
@@ -272,6 +330,82 @@ def test_dataset_operators_on_awkward_rows(spark):
     assert image.select(dataset.border_masked(F.col("x"), 2, 1)).first()[0] == [-1, -1, -1, 62]
 
 
+def test_splits_and_draws_of_groups(spark):
+    rows = [(i, f"n{i % 40}", g, (0 if g % 3 else 1) if g is not None else None) for i, g in enumerate([*range(60), *range(60), None, None])]
+    df = spark.createDataFrame(rows, "sample_id long, name string, grp long, y int")
+    got = {r.grp: (r.y, r.split) for r in dataset.group_split(df, 0.1, 0.05).collect()}
+    assert len(got) == 60
+    for y, n in ((0, 40), (1, 20)):
+        held = int(np.ceil(n * (0.1 + 0.05)))
+        val = int(np.ceil(held * (0.1 / (0.1 + 0.05))))
+        found = [s for k, s in got.values() if k == y]
+        assert (found.count("val"), found.count("test"), len(found)) == (val, held - val, n)
+    assert got != {r.grp: (r.y, r.split) for r in dataset.group_split(df, 0.1, 0.05, seed=1).collect()}
+    old = [r.split for r in dataset.group_split_legacy(df, 0.1, 0.05).collect()]
+    assert (old.count("test"), old.count("val"), len(old)) == (4, 7, 60)
+    assert {r.split for r in dataset.group_split_legacy(df).collect()} == {"train"}
+    assert dataset.group_split(df.limit(0)).count() == 0 and dataset.group_split_legacy(df.limit(0), 0.1, 0.1).count() == 0
+    drawn = [r.sample_id for r in dataset.drawn(df, 9).collect()]
+    assert len(set(drawn)) == 9 and drawn == [r.sample_id for r in dataset.drawn(df.repartition(7), 9).collect()]
+    scored = spark.createDataFrame([(0, 0.7), (1, 0.7), (1, 0.2), (0, None), (None, 0.1), (1, float("nan"))], "y int, prob double")
+    assert {tuple(r) for r in dataset.misclassified(scored).collect()} == {(0, 0.7), (1, 0.2)}
+    marks = {r.quantile: r.marker for r in dataset.quantile_markers(df, "sample_id").collect()}
+    assert marks == {q: pytest.approx(np.quantile(range(122), q)) for q in (0.2, 0.4, 0.5, 0.6, 0.8)}
+
+
+def test_features_tell_joins_apart(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(120):
+        x = rng.poisson(3, (20, 20))
+        if i % 2:
+            x[:10, 10:], x[10:, :10] = 0, 0
+        rows.append((i, 1 - i % 2, [int(v) for v in x.ravel()]))
+    df = spark.createDataFrame(rows + [(900, 1, None), (901, 1, [1, 2]), (902, None, rows[0][2]), (903, 1, [-1] * 400)], "sample_id long, y int, x array<int>")
+    model = features.fitted(df.where("sample_id < 80"))
+    got = {r.sample_id: r.prob for r in features.feature_scores(df, model).collect()}
+    assert set(got) == {*range(120), 902, 903} and all((got[i] > 0.5) == (i % 2 == 0) for i in range(80, 120))
+
+
+def test_datasets_end_in_files(spark, tmp_path):
+    from contactloom.sources import formats
+
+    m = random_matrix(np.random.default_rng(9), 40)
+    df = pixels(spark, as_rows(m, "c", 10) + [(10, "c", i, "d", j, 1) for i in range(4) for j in range(30)] + as_rows(m, "d", 10))
+    size, names_of = sizes(spark, c=400, d=405), spark.createDataFrame([("d", "old")], "new string, old string")
+    breaks = spark.createDataFrame([("c", 20)], "chrom string, bin long")
+    intra = pipelines.intra_dataset(df, size, 10, breakpoints=breaks, name_table=names_of)
+    rows = {r.name: r for r in intra.collect()}
+    assert set(rows) == {f"{c}_{p}_{k}" for c in ("c", "old") for p in range(10, 31) for k in ("C2", "C3")}
+    assert {n for n, r in rows.items() if r.y == 0} == {f"c_{p}_{k}" for p in range(17, 24) for k in ("C2", "C3")}
+    assert rows["c_15_C2"].x == [int(v) for v in m[5:25, 5:25].ravel()] and rows["c_15_C3"].x == rows["c_15_C2"].x[::-1]
+    assert {r.grp for r in rows.values()} == {1, 2}
+    assert pipelines.intra_dataset(df, size, 10, breakpoints=breaks, only_negatives=True).count() == 14
+    inter = {r.name: r for r in pipelines.inter_dataset(df, size, 10).collect()}
+    assert inter["d:0-405:1|c:0-400:0"].x == inter["c:0-400:0|d:0-405:1"].x[::-1] if "c:0-400:0|d:0-405:1" in inter else True
+    assert set(inter) == {n for s, t in ((0, 0),) for n in (f"c:0-400:{s}|d:0-405:{t}", f"d:0-405:{t}|c:0-400:{s}")} and {r.grp for r in inter.values()} == {1}
+    formats.write_dataset(intra, str(tmp_path / "set"), cells=contacts.upper(df), edited=True, Source="hand")
+    assert spark.read.parquet(str(tmp_path / "set/images")).where("image_size = 10 and bin_size = 10").count() == len(rows)
+    assert spark.read.parquet(str(tmp_path / "set/whole")).agg(F.sum("cnt")).first()[0] == 2 * int(np.triu(m).sum())
+    assert set(spark.read.parquet(str(tmp_path / "set/metadata")).first().metadata) == {"Edit", "Source"}
+
+
+def test_runs_of_window_sums(spark):
+    rng = np.random.default_rng(12)
+    m = np.triu((rng.random((300, 300)) < 0.01) * rng.integers(1, 4, (300, 300)))
+    m = m + np.triu(m, 1).T
+    cells, size = contacts.upper(pixels(spark, as_rows(m))), sizes(spark, c=3000, empty=1000, tiny=100)
+    want = {("c", p): int(m[p - 10 : p + 10, p - 10 : p + 10].sum()) for p in range(10, 291)} | {("empty", p): 0 for p in range(10, 91)}
+    for width in (7, 64, 100_000):
+        runs = windows.window_sum_runs(cells, size, width=width).collect()
+        got = {}
+        for r in runs:
+            for p in range(r.first, r.last + 1):
+                assert (r.chrom, p) not in got
+                got[(r.chrom, p)] = r.total
+        assert got == want
+
+
 def test_contig_names(spark):
     cases = {
         "lg:a-1_x_40_C2": ["lg:a-1_x"], " Sup er_3_c3 ": ["super"], "hap1:ctg:0-9:0|z.1-2:5-8:1": ["hap1:ctg", "z.1-2"], "A:0-1:0|a:4-5:1": ["a"], "odd": ["odd"], None: None, "": [""],
@@ -381,6 +515,9 @@ def test_noncontiguous_pairs_of_contigs_of_any_length(spark):
     got = sorted(tuple(r) for r in pairs.collect())
     starts = {c: range(0, n - 39, 40) for c, n in bins.items()}
     assert got == sorted((c, a, a + 40, b, b + 40) for c, at in starts.items() for a in at for b in at if a < b and b != a + 40)
+    ranges = ends.noncontiguous_ranges(sizes(spark, **{c: n * 25_000 + 3 for c, n in bins.items()}), 25_000, 40).collect()
+    assert sorted((r.chrom, r.a0, b) for r in ranges for b in range(r.b_first, r.b_last + 1, 40)) == [(c, a, b) for c, a, _, b, _ in got]
+    assert sum(r.pairs for r in ranges) == len(got)
 
 
 def test_numbers_are_listed_over_ranges(spark):
