@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactloom.operators.ranking import spread
+
 
 def corner_mean(scores: DataFrame) -> DataFrame:
     """(chrom, bin, p): the mean of both corners (chrom, bin, p2, p3); rows without both are left out."""
@@ -12,10 +14,11 @@ def corner_mean(scores: DataFrame) -> DataFrame:
     return both.select("chrom", "bin", ((F.col("p2") + F.col("p3")) / 2).alias("p"))
 
 
-def filled(curve: DataFrame, spans: DataFrame, blank: float | None) -> DataFrame:
-    """(chrom, bin, p): all bins first to last of each contig of spans (chrom, first, last), p = blank where the curve has none.
+def stretches(curve: DataFrame, spans: DataFrame, blank: float | None) -> DataFrame:
+    """(chrom, bin, last, p): the scored bins of a curve and the stretches of bins without a score between them, with p = blank.
 
-    Each scored bin lists the bins up to the next one, in the task that follows its contig.
+    Together they cover the bins first to last of each contig of spans (chrom, first, last); a scored bin is a
+    stretch of its own, so the rows follow the scores, not the lengths.
     """
     scored = curve.select("chrom", F.col("bin").cast("long").alias("bin"), F.col("p").cast("double").alias("p"))
     starts = spans.select("chrom", F.col("first").cast("long").alias("bin"), F.col("last").cast("long").alias("_last"))
@@ -23,9 +26,19 @@ def filled(curve: DataFrame, spans: DataFrame, blank: float | None) -> DataFrame
     marks = both.groupBy("chrom", "bin").agg(F.max("p").alias("p"), F.max("_last").alias("_last"))
     along = Window.partitionBy("chrom").orderBy("bin")
     upto = F.coalesce(F.lead("bin").over(along) - 1, F.max("_last").over(Window.partitionBy("chrom")))
-    listed = marks.withColumn("_to", upto).withColumn("_at", F.explode(F.sequence("bin", "_to")))
-    p = F.when((F.col("_at") == F.col("bin")) & F.col("p").isNotNull(), F.col("p")).otherwise(F.lit(blank).cast("double"))
-    return listed.select("chrom", F.col("_at").alias("bin"), p.alias("p"))
+    row = lambda a, b, p: F.struct(a.alias("bin"), b.alias("last"), p.alias("p"))
+    told = marks.withColumn("_to", upto)
+    empty = F.lit(blank).cast("double")
+    both = F.when(F.col("p").isNull(), F.array(row(F.col("bin"), F.col("_to"), empty))).otherwise(
+        F.array(row(F.col("bin"), F.col("bin"), F.col("p")), row(F.col("bin") + 1, F.col("_to"), empty))
+    )
+    return told.select("chrom", F.explode(both).alias("_r")).select("chrom", "_r.*").where("bin <= last")
+
+
+def filled(curve: DataFrame, spans: DataFrame, blank: float | None) -> DataFrame:
+    """(chrom, bin, p): all bins of stretches, one by one."""
+    rows = stretches(curve, spans, blank)
+    return spread(rows.withColumnRenamed("bin", "_bin"), F.col("_bin"), F.col("last"), 1, "bin").select("chrom", "bin", "p")
 
 
 def smoothed(curve: DataFrame, window: int = 20, least: float = 1.0) -> DataFrame:
@@ -53,7 +66,7 @@ def masked(curve: DataFrame, regions: DataFrame, tolerance: int = 5) -> DataFram
 
 
 def runs(curve: DataFrame, threshold: float = 0.05, emit_trailing: bool = False) -> DataFrame:
-    """(chrom, part_id, chimeric, b0, b1): maximal runs of kept or bad bins of (chrom, bin, p, masked).
+    """(chrom, part_id, chimeric, b0, b1): maximal runs of kept or bad bins of (chrom, bin, p, masked), or of stretches of bins with a column last.
 
     A bin is kept if p >= threshold or it is masked. A run reaches to the first bin of the next one; the
     last run ends with its last bin. A last run of bad bins is not a part, unless emit_trailing is set.
@@ -63,7 +76,7 @@ def runs(curve: DataFrame, threshold: float = 0.05, emit_trailing: bool = False)
     flagged = curve.withColumn("_keep", F.coalesce(keep, F.lit(False)))
     started = flagged.withColumn("_new", F.when(F.lag("_keep").over(along) == F.col("_keep"), 0).otherwise(1))
     numbered = started.withColumn("_run", F.sum("_new").over(along))
-    per_run = numbered.groupBy("chrom", "_run").agg(F.min("bin").alias("b0"), F.max("bin").alias("_last"), F.first("_keep").alias("_keep"))
+    per_run = numbered.groupBy("chrom", "_run").agg(F.min("bin").alias("b0"), F.max("last" if "last" in curve.columns else "bin").alias("_last"), F.first("_keep").alias("_keep"))
     order = Window.partitionBy("chrom").orderBy("_run")
     parts = per_run.withColumn("_next", F.lead("b0").over(order))
     if not emit_trailing:

@@ -78,7 +78,9 @@ def corrected_contigs(
     curve = cut(segment.corner_mean(both))
     empty = curve.where("bin = 0").first()
     spans = windows.spans(chrom_sizes, blank, half).drop("resolution")
-    curve = segment.filled(curve.where("bin <> 0"), spans, empty and empty.p)
+    # bins are listed one by one only where their neighbours count
+    whole = segment.filled if smoothing or regions is not None else segment.stretches
+    curve = whole(curve.where("bin <> 0"), spans, empty and empty.p)
     if smoothing:
         curve = segment.smoothed(curve)
     if regions is None:

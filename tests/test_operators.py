@@ -541,6 +541,10 @@ def test_windows_without_contacts_exist(spark):
 def test_filled_curve(spark):
     curve = spark.createDataFrame([("a", 12, 0.5), ("a", 15, 0.7), ("b", 10, 0.2)], "chrom string, bin long, p double")
     spans = spark.createDataFrame([("a", 10, 16), ("b", 10, 10), ("c", 10, 11)], "chrom string, first long, last long")
+    runs = sorted(tuple(r) for r in segment.stretches(curve, spans, 0.0).collect())
+    assert runs == [("a", 10, 11, 0.0), ("a", 12, 12, 0.5), ("a", 13, 14, 0.0), ("a", 15, 15, 0.7), ("a", 16, 16, 0.0), ("b", 10, 10, 0.2), ("c", 10, 11, 0.0)]
+    flagged = lambda rows: sorted(tuple(r) for r in segment.runs(rows.withColumn("masked", F.lit(False)), 0.3, emit_trailing=True).collect())
+    assert flagged(segment.stretches(curve, spans, 0.0)) == flagged(segment.filled(curve, spans, 0.0))
     got = sorted(tuple(r) for r in segment.filled(curve, spans, 0.0).collect())
     assert got == [("a", b, {12: 0.5, 15: 0.7}.get(b, 0.0)) for b in range(10, 17)] + [("b", 10, 0.2), ("c", 10, 0.0), ("c", 11, 0.0)]
 
