@@ -29,14 +29,14 @@ def local_session(name: str = "contactloom", cores: int = 8, shuffle_partitions:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows read back from the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is spark.checkpoint.dir of the session. Only where that is unset and the master is
-    local, a temporary folder takes its place.
+    The folder is spark.checkpoint.dir of the session. Only where that is unset and all tasks run in
+    this process, a temporary folder takes its place.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", "")
-        if not shared and not context.master.startswith("local"):
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
