@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.operators.scorer import block_score
+from contactloom.session import cut
 
 #: Distances from the diagonal at which bands of an image end.
 BANDS = (1, 3, 6, 10, 15, 20)
@@ -42,7 +43,8 @@ def _with_features(images: DataFrame, side: int) -> DataFrame:
 
 def fitted(images: DataFrame, side: int = 20, passes: int = 50) -> LogisticRegressionModel:
     """A model of P(y = 1) from all images (sample_id, y, x) with a label 0 or 1; every pass is one Spark job over them."""
-    rows = _with_features(images.where("y in (0, 1)"), side).withColumn("label", F.col("y").cast("double"))
+    # every pass reads the features, which are made once
+    rows = cut(_with_features(images.where("y in (0, 1)"), side).select(F.col("y").cast("double").alias("label"), "features"))
     return LogisticRegression(maxIter=passes, regParam=1e-3).fit(rows)
 
 

@@ -109,40 +109,6 @@ def images(window: DataFrame, half: int = 10, key: list[str] | None = None, ever
     return every.join(made, key or WINDOW, "left").withColumn("x", F.coalesce("x", blank))
 
 
-def window_images(cells: DataFrame, chrom_sizes: DataFrame, half: int = 10, width: int = 20, every: DataFrame | None = None) -> DataFrame:
-    """(resolution, chrom, pos, x): the same as images(window_cells(...)).
-
-    A cell moves to the blocks of `width` positions that it belongs to, two at most if these are as wide as a window,
-    instead of to each of its positions; a block has the cells of a few windows, which are cut out of it where it is.
-    """
-    side = 2 * half
-    near = contacts.band(cells, side - 1).join(contacts.sizes(chrom_sizes), F.col("chrom1") == F.col("chrom"))
-    ranged = near.select(
-        "resolution", "chrom", F.struct(F.col("bin1").cast("long").alias("lo"), F.col("bin2").cast("long").alias("hi"), "cnt").alias("_cell"),
-        F.greatest(F.col("bin2") - (half - 1), F.lit(half)).cast("long").alias("_from"),
-        F.least(F.col("bin1") + half, F.expr(f"length div resolution - {half}")).cast("long").alias("_to"),
-        F.expr(f"length div resolution - {half}").alias("_limit"),
-    ).where("_from <= _to")
-    blocks = ranged.withColumn("_k", F.explode(F.sequence(F.expr(f"_from div {width}"), F.expr(f"_to div {width}"))))
-    grouped = blocks.groupBy("resolution", "chrom", "_k").agg(F.collect_list("_cell").alias("_near"), F.max("_limit").alias("_limit"))
-    first, last = F.greatest(F.col("_k") * width, F.lit(half).cast("long")), F.least(F.col("_k") * width + (width - 1), F.col("_limit"))
-    placed = grouped.withColumn("pos", F.explode(F.sequence(first, last))).withColumn("_base", F.col("pos") - half)
-    within = F.filter("_near", lambda c: (c["lo"] >= F.col("_base")) & (c["hi"] < F.col("_base") + side))
-    value = lambda r, c, v: F.struct((r * side + c - F.col("_base") * (side + 1)).cast("int").alias("i"), v.alias("v"))
-    both = lambda c: F.when(c["lo"] == c["hi"], F.array(value(c["lo"], c["hi"], c["cnt"]))).otherwise(
-        F.array(value(c["lo"], c["hi"], c["cnt"]), value(c["hi"], c["lo"], c["cnt"]))
-    )
-    cut_out = placed.withColumn("_cells", F.array_sort(F.flatten(F.transform(within, both)))).where(F.size("_cells") > 0)
-    made = cut_out.select(*WINDOW, dense("_cells", side * side).alias("x"))
-    return made if every is None else with_blank(made, every, side)
-
-
-def with_blank(made: DataFrame, every: DataFrame, side: int) -> DataFrame:
-    """The images (resolution, chrom, pos, x) of all positions of `every`, those without contacts as zeros."""
-    blank = F.array_repeat(F.lit(0), side * side).cast(made.schema["x"].dataType)
-    return every.join(made, WINDOW, "left").withColumn("x", F.coalesce("x", blank))
-
-
 def labelled(windows: DataFrame, breakpoints: DataFrame, half: int = 10, tolerance: int = 7) -> DataFrame:
     """Adds y to (chrom, pos) rows: 0 if a breakpoint of the contig is in view, else 1.
 

@@ -54,7 +54,7 @@ def corrected_contigs(
     are scored as one: bin 0 of a contig without a name.
     """
     cells = contacts.upper(pixels.where(F.col("resolution") == resolution))
-    images = windows.window_images(cells, chrom_sizes, half)
+    images = windows.images(windows.window_cells(cells, chrom_sizes, half), half)
     zeros = F.array_repeat(F.lit(0), 4 * half * half).cast(images.schema["x"].dataType)
     blank = pixels.sparkSession.range(1).select(F.lit(resolution).alias("resolution"), F.lit("").alias("chrom"), F.lit(0).cast("long").alias("pos"), zeros.alias("x"))
     images = images.unionByName(blank)
@@ -136,7 +136,7 @@ def intra_dataset(
     """
     cells = contacts.upper(pixels.where(F.col("resolution") == resolution))
     every = windows.every_position(chrom_sizes, pixels.where(F.col("resolution") == resolution), half) if least <= 0 else None
-    made = windows.window_images(cells, chrom_sizes, half, every=every)
+    made = windows.images(windows.window_cells(cells, chrom_sizes, half), half, every=every)
     if least > 1:
         made = made.where(dataset.image_sum(F.col("x")) >= least)
     none = cells.select(F.col("chrom1").alias("chrom"), F.col("bin1").alias("bin")).limit(0)
