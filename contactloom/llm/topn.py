@@ -35,7 +35,8 @@ def _best(rows: pa.Table, keys: list[str], n: int) -> tuple[pa.Table, np.ndarray
     score, tie, out = (rows[c].to_numpy() for c in ("score", "tie", "left_out"))
     order = np.lexsort((tie, -score, code))
     code, score, tie, out = code[order], score[order], tie[order], out[order]
-    again = np.r_[False, (code[1:] == code[:-1]) & (score[1:] == score[:-1]) & (tie[1:] == tie[:-1])]
+    # none of no rows: a partition can end just where its bounds went out
+    again = np.r_[False, (code[1:] == code[:-1]) & (score[1:] == score[:-1]) & (tie[1:] == tie[:-1])][: len(code)]
     gone = np.zeros(code.max(initial=-1) + 1, np.int64)
     np.add.at(gone, code, out)
     order, code = order[~again], code[~again]
@@ -47,7 +48,9 @@ def _best(rows: pa.Table, keys: list[str], n: int) -> tuple[pa.Table, np.ndarray
     last = place[kept] == n - 1
     left_out = np.where(last, gone[code[kept]], 0)
     best = rows.take(pa.array(order[kept]))
-    return best.set_column(best.schema.get_field_index("left_out"), "left_out", pa.array(left_out)), np.flatnonzero(last)
+    at = best.schema.get_field_index("left_out")
+    # with the same schema as before, as what is kept is put together with later batches
+    return best.set_column(at, best.schema.field(at), pa.array(left_out)), np.flatnonzero(last)
 
 
 def lower_bounds(rows: DataFrame, group: list[str], n: int) -> DataFrame:

@@ -332,6 +332,29 @@ def test_top_n_with_ties_and_hot_groups(spark, most):
     assert topn.top_n(df.limit(0), ["a"], "prob", "link_id").count() == 0
 
 
+@pytest.mark.parametrize("groups", [40, 400])
+def test_top_n_of_partitions_with_more_rows_than_a_task_keeps(spark, monkeypatch, groups):
+    # few groups are searched on with what is kept, many send their bounds out and begin anew
+    monkeypatch.setattr(topn, "KEPT_ROWS", 1500)
+    rows = [(i, f"g{i * 7919 % groups}", i * 104_729 % 5003 / 5003) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "link_id long, a string, prob double").coalesce(1).where("link_id is not null")
+    best = defaultdict(list)
+    for i, a, prob in rows:
+        best[a].append((-prob, i))
+    want = {i for g in best.values() for _, i in sorted(g)[:5]}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+    try:
+        for kind in ("a string, link_id long, prob double", "a string not null, link_id long not null, prob double not null"):
+            made = spark.createDataFrame(df.select("a", "link_id", "prob").rdd, kind)
+            got = [r.link_id for r in topn.top_n(made, ["a"], "prob", "link_id", 5).collect()]
+            assert len(got) == len(want) and set(got) == want
+        bounds = topn.lower_bounds(df.select("a", F.col("prob").alias("score"), F.col("link_id").alias("tie")), ["a"], 5).collect()
+        # each is a row that at least five rows of its group equal or beat
+        assert len(bounds) == groups and all(sum(r <= (-b.bound.score, ~b.bound["last"]) for r in best[b.a]) >= 5 for b in bounds)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def reference_encoding():
     import tiktoken
 
