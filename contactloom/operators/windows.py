@@ -95,13 +95,23 @@ def rotated(window: DataFrame, half: int = 10) -> DataFrame:
     return window.withColumns({"r": F.lit(last) - F.col("r"), "c": F.lit(last) - F.col("c")})
 
 
-def images(window: DataFrame, half: int = 10, key: list[str] | None = None, every: DataFrame | None = None) -> DataFrame:
+def with_contacts(cells: DataFrame, chrom_sizes: DataFrame, half: int = 10, least: int = 1) -> DataFrame:
+    """(resolution, chrom, pos): the windows that images has for the same `least`, told by their sums alone."""
+    both = F.when(F.col("lo") == F.col("hi"), F.col("cnt")).otherwise(2 * F.col("cnt"))
+    totals = positions(cells, chrom_sizes, half).groupBy(*WINDOW).agg(F.sum(both).alias("_total"))
+    return (totals.where(F.col("_total") >= least) if least > 1 else totals).select(*WINDOW)
+
+
+def images(window: DataFrame, half: int = 10, key: list[str] | None = None, every: DataFrame | None = None, least: int = 1) -> DataFrame:
     """(key, x): dense images of window cells, row by row, missing cells 0. A window holds 4 S^2 cells at most.
 
-    Windows without cells have an image only if `every` (key; see every_position) lists them.
+    Windows without cells have an image only if `every` (key; see every_position) lists them. With
+    `least` beyond 1 only windows whose cells add up to that much have one.
     """
     side = 2 * half
-    cells = window.groupBy(*(key or WINDOW)).agg(sorted_cells(F.col("r") * side + F.col("c"), F.col("cnt")).alias("_cells"))
+    cells = window.groupBy(*(key or WINDOW)).agg(sorted_cells(F.col("r") * side + F.col("c"), F.col("cnt")).alias("_cells"), F.sum("cnt").alias("_total"))
+    if least > 1:
+        cells = cells.where(F.col("_total") >= least)
     made = cells.select(*(key or WINDOW), dense("_cells", side * side).alias("x"))
     if every is None:
         return made

@@ -136,14 +136,15 @@ def intra_dataset(
     """
     cells = contacts.upper(pixels.where(F.col("resolution") == resolution))
     every = windows.every_position(chrom_sizes, pixels.where(F.col("resolution") == resolution), half) if least <= 0 else None
-    made = windows.images(windows.window_cells(cells, chrom_sizes, half), half, every=every)
-    if least > 1:
-        made = made.where(dataset.image_sum(F.col("x")) >= least)
+    made = windows.images(windows.window_cells(cells, chrom_sizes, half), half, every=every, least=least)
     none = cells.select(F.col("chrom1").alias("chrom"), F.col("bin1").alias("bin")).limit(0)
-    told = windows.labelled(made, none if breakpoints is None else breakpoints, half)
+    labelled = lambda rows: windows.labelled(rows, none if breakpoints is None else breakpoints, half)
+    # contigs are numbered by the windows they have, so that images are made once, at the end
+    held = windows.with_contacts(cells, chrom_sizes, half, least) if every is None else every
+    told = labelled(made)
     if only_negatives:
-        told = dataset.negatives(told)
-    contigs = told.select("chrom").distinct()
+        told, held = dataset.negatives(told), dataset.negatives(labelled(held))
+    contigs = cut(held.select("chrom").distinct())
     numbered = shuffled(contigs.withColumn("_all", F.lit(1)), ["_all"], "chrom", contigs.count(), 0, "grp").select("chrom", "grp", F.col("chrom").alias("contig"))
     called = numbered if name_table is None else dataset.renamed(numbered, name_table)
     corners = F.explode(F.array(F.struct(F.lit("C2").alias("corner"), F.col("x")), F.struct(F.lit("C3").alias("corner"), F.reverse("x").alias("x"))))

@@ -1,5 +1,6 @@
 """Operators against brute force and properties, on hand-sized cases with awkward rows."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -388,6 +389,23 @@ def test_datasets_end_in_files(spark, tmp_path):
     assert set(spark.read.parquet(str(tmp_path / "set/metadata")).first().metadata) == {"Edit", "Source"}
 
 
+@pytest.mark.parametrize("least,only", [(0, False), (1, False), (3, True), (9, False)])
+def test_images_of_a_dataset_are_made_once(spark, least, only):
+    rows = [(10, c, i, c, i + i % 4, 1 + i % 3) for c in ("c", "d", "e") for i in range(0, 60, 5)] + [(10, "f", 30, "f", 30, 1), (10, "f", 2, "g", 3, 5)]
+    df, size = pixels(spark, rows), sizes(spark, c=600, d=605, e=300, f=600, g=600)
+    breaks = spark.createDataFrame([("c", 20), ("f", 31)], "chrom string, bin long")
+    made = pipelines.intra_dataset(df, size, 10, breakpoints=breaks, least=least, only_negatives=only)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1
+    got = {r.name: (r.grp, r.y, r.x) for r in made.collect()}
+    cells = contacts.upper(df)
+    every = windows.every_position(size, df) if least <= 0 else None
+    want = {(r.chrom, r.pos): (int((r.chrom, r.pos) not in {(c, p) for c, b in (("c", 20), ("f", 31)) for p in range(b - 3, b + 4)}), r.x)
+            for r in windows.images(windows.window_cells(cells, size), every=every).collect() if sum(r.x) >= least or least <= 1}
+    want = {k: v for k, v in want.items() if v[0] == 0 or not only}
+    order = sorted({c for c, _ in want}, key=lambda c: hashlib.md5(f"0:{c}".encode()).hexdigest())
+    assert got == {f"{c}_{p}_{k}": (order.index(c) + 1, y, x if k == "C2" else x[::-1]) for (c, p), (y, x) in want.items() for k in ("C2", "C3")}
+
+
 def test_runs_of_window_sums(spark):
     rng = np.random.default_rng(12)
     m = np.triu((rng.random((300, 300)) < 0.01) * rng.integers(1, 4, (300, 300)))
