@@ -7,7 +7,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.functions import names
@@ -25,7 +25,7 @@ FLAT_WINDOWS = 0.25
 LEAST_CELLS, LEAST_EQUAL = 150, (9, 10)
 #: Images with at most this part of positive cells have a fingerprint for each of these.
 SPARSE = 0.3
-#: A fingerprint of more classes joins only together with others of its image.
+#: The classes of a fingerprint that has more of them are dealt to several tasks.
 MOST_CLASSES = 1000
 #: Parts by which fingerprints are counted first, and words of 64 bits that tell which records are candidates.
 MOST_PARTS, WORDS = 1 << 20, 1 << 18
@@ -246,34 +246,36 @@ def hot_prints(prints: DataFrame, total: int, most: int = MOST_CLASSES) -> DataF
     return None if hot.isEmpty() else hot
 
 
-def companions(key: Column, prints: Column, tries: int) -> Column:
-    """For each of `tries` random orders that follow from the key, the first of the prints; keys that share prints often get the same."""
-    first = lambda k: F.array_min(F.transform(prints, lambda q: F.struct(F.xxhash64(key, F.lit(k), q).alias("h"), q.alias("q"))))["q"]
-    return F.array_distinct(F.array(*(first(k) for k in range(tries))))
-
-
-def chained(classes: DataFrame, most: int = MOST_CLASSES, tries: int = 4, depth: int = 3) -> DataFrame:
-    """(id_a, id_b): pairs of a class in train and another held out that share a chain of fingerprints.
+def chained(classes: DataFrame, most: int = MOST_CLASSES) -> DataFrame:
+    """(id_a, id_b): all pairs of a class in train and another held out that share a chain of fingerprints.
 
     classes is (id, train, held, side, filled, valid, prints). A chain is LEAST_SEEDS winnowed
     fingerprints, one where little of an image is no padding, or as many single cells as two nearly empty
     images must share.
 
-    A fingerprint of more than `most` classes never joins by itself, as all pairs of its classes would
-    come out. Instead it is chained to others of its image: for each of `tries` random orders to the
-    first one in it, so two images that share it and a part J of their fingerprints agree on a chain
-    with J or more in each try. Chains that are still in more than `most` classes grow once more, up to
-    `depth` links; those left then are pairs that share that many fingerprints, and all of them meet.
+    No fingerprint is left out. One of more than `most` classes is dealt to several tasks by the number
+    of its classes in train; all pairs of its classes come out, as they may share another one.
     """
     cells = F.col("side") * F.col("side")
     own = classes.select("id", "train", "held", (F.col("valid") < cells * TIGHT).alias("tight"), F.explode("prints").alias("print"))
     rows = classes.agg(F.sum(F.size("prints"))).first()[0] or 0
     hot = hot_prints(own, rows, most)
-    rare = own if hot is None else own.join(small(hot, 200_000), "print", "left_anti")
-    a = rare.where("train").select("print", F.col("id").alias("id_a"), F.col("tight").alias("_a"))
-    b = rare.where("held").select("print", F.col("id").alias("id_b"), F.col("tight").alias("_b"))
+
+    def sides(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return (
+            prints.where("train").select("print", F.col("id").alias("id_a"), F.col("tight").alias("_a")),
+            prints.where("held").select("print", F.col("id").alias("id_b"), F.col("tight").alias("_b")),
+        )
+
+    if hot is None:
+        a, b = sides(own)
+        shared = a.join(b, "print")
+    else:
+        hot = small(hot, 200_000)
+        a, b = sides(own.join(hot, "print", "left_anti"))
+        shared = a.join(b, "print").unionByName(paired(*sides(own.join(hot, "print", "left_semi")), ["print"], most))
     cell = F.col("print").bitwiseAND(F.lit(1)) == 1
-    met = a.join(b, "print").where("id_a <> id_b").groupBy("id_a", "id_b").agg(
+    met = shared.where("id_a <> id_b").groupBy("id_a", "id_b").agg(
         F.count_if(~cell).alias("seeds"), F.count_if(cell).alias("_cells"), F.max(F.col("_a") | F.col("_b")).alias("_tight")
     )
     chain = (F.col("seeds") >= LEAST_SEEDS) | F.col("_tight") & (F.col("seeds") > 0)
@@ -285,30 +287,7 @@ def chained(classes: DataFrame, most: int = MOST_CLASSES, tries: int = 4, depth:
     )
     # a cell stands for itself and its mirror; with padding the counts of the common cells are not known
     few = few.where("_na is null or _nb is null or 2 * _cells >= greatest(_na, _nb)")
-    found = met.where(chain).select("id_a", "id_b").union(few.select("id_a", "id_b"))
-    if hot is None:
-        return found.distinct()
-    chain = classes.select("id", "train", "held", "prints", F.explode("prints").alias("print")).join(small(hot, 200_000), "print")
-    chain = chain.select("id", "train", "held", "prints", F.col("print").cast("long").alias("print"), F.array("print").alias("_seen"))
-    for link in range(2, depth + 1):
-        rest = F.array_except("prints", "_seen")
-        longer = (
-            chain.withColumn("_q", F.explode(companions(F.col("print"), rest, tries))).where("_q is not null")
-            # in order, so that a chain is the same from whichever of its links it began
-            .withColumn("_seen", F.array_sort(F.concat("_seen", F.array("_q"))))
-            .select("id", "train", "held", F.xxhash64("_seen").alias("print"), "_seen").dropDuplicates(["id", "print"])
-        )
-        longer = cut(longer)
-        hot = None if link == depth else hot_prints(longer, longer.count(), most)
-        ready = longer if hot is None else longer.join(small(hot, 200_000), "print", "left_anti")
-        met = paired(
-            ready.where("train").select("print", F.col("id").alias("id_a")), ready.where("held").select("print", F.col("id").alias("id_b")), ["print"]
-        )
-        found = found.union(met.where("id_a <> id_b").select("id_a", "id_b"))
-        if hot is None:
-            break
-        chain = longer.join(small(hot, 200_000), "print").join(classes.select("id", "prints"), "id")
-    return found.distinct()
+    return met.where(chain).select("id_a", "id_b").union(few.select("id_a", "id_b")).distinct()
 
 
 def nearly_empty(classes: DataFrame) -> DataFrame:

@@ -111,6 +111,16 @@ def test_equal_hot_fingerprints_all_meet(spark):
     assert found == {(a, b) for a in range(60) for b in range(60) if a % 3 == 0 and b % 3}
 
 
+def test_pairs_that_share_hot_fingerprints_only_all_meet(spark):
+    rng = random.Random(5)
+    # two of a few hot fingerprints, or one of them with little of the image no padding, and many of each image's own
+    rows = [(i, i % 3 == 0, set(rng.sample(range(2, 18, 2), 2)) | {2 * rng.randrange(10**3, 10**6) for _ in range(60)}) for i in range(120)]
+    classes = as_classes(spark, rows).withColumn("valid", F.when(F.col("id") < 20, 200).otherwise(F.col("valid")))
+    want = {(a, b) for a, t, p in rows for b, u, q in rows if t and not u and len(p & q) >= (1 if min(a, b) < 20 else 2)}
+    assert {(r.id_a, r.id_b) for r in overlap.chained(classes, most=4).collect()} == want
+    assert want == {(r.id_a, r.id_b) for r in overlap.chained(classes).collect()}
+
+
 def test_fingerprints_ignore_transposition():
     rng = np.random.default_rng(0)
     for side in (13, 20, 31):
